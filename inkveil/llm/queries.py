@@ -16,11 +16,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkveil.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir))
+
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
