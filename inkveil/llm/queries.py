@@ -10,6 +10,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkveil.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), words=3, top=90, bottom=100)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkveil.llm.exact_dedup import exact_dedup
 
@@ -28,5 +34,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op9_jaccard_join": op9_jaccard_join, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
