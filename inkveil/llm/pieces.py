@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.session import ship
 
@@ -221,9 +222,8 @@ def encode_texts(df: DataFrame, model: Callable[[], str], text: str = "text", ou
     ship(df.sparkSession)
     df = df.drop(out, *([decoded] if decoded else []))
     names = df.columns
-    schema = df.schema.add(out, "array<int>")
-    if decoded:
-        schema = schema.add(decoded, "string")
+    more = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    schema = T.StructType([*df.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model())

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.session import ship
 
@@ -198,7 +199,8 @@ def grade_toxicity(df: DataFrame, model: Ordinal, text: str = "text", reject: fl
     df = df.drop(*new)
     names, where = df.columns, df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)  # as large as its weights that are not zero
-    schema = df.schema.add("severity", "double").add("p_toxic", "double").add("grade", "int").add("rejected", "boolean")
+    kinds = (T.DoubleType(), T.DoubleType(), T.IntegerType(), T.BooleanType())
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip(new, kinds, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
