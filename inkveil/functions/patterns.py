@@ -36,7 +36,7 @@ METADATA = {
 }
 INFO_FIELDS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")
 
-_JAVA_SPACE = r"\t\n\x0B\f\r\x20   -     　﻿"
+_JAVA_SPACE = r"\t\n\x0B\f\r\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _RE2_SPACE = r"\t\n\x{0B}\f\r\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
@@ -88,7 +88,7 @@ def from_script(source: str, flags: str = "") -> str:
             inside = True
             out.append(c)
         elif c == "." and "s" not in flags:
-            out.append(r"[^\n\r  ]")
+            out.append(r"[^\n\r\u2028\u2029]")
         elif c == "$" and "m" not in flags:
             out.append(r"\z")
         else:
