@@ -230,25 +230,45 @@ def _wanted(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _members(words: int, wanted):
-    """The shingles of those sets that the filter lets through, once a batch."""
-    fields = pa.schema([("set", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def _texts(words: int, wanted):
+    """(set, text) of those rows whose keys the filter lets through, and of rows without a key."""
+    fields = pa.schema([("set", pa.int64()), ("text", pa.string())])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
+        for batch in batches:
+            keys = batch.column(0)
+            passes = np.asarray(keys.is_null())
+            at = _places(keys.fill_null(0).to_numpy(zero_copy_only=False))
+            passes |= np.logical_and.reduce([(bits[x >> 3] & (128 >> (x & 7)).astype(np.uint8)) > 0 for x in at])
+            kept = batch.filter(pa.array(passes))
+            ids = [set_id(x) if len(x) else None for x in shingle_sets(kept.column(1), words)]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kept.column(1)], schema=fields)
 
-        def each(ids, sets):
-            known = {}
-            for found in sets:
-                if len(found):
-                    s = set_id(found)
-                    if s not in known and all(bits[at[0] >> 3] & (128 >> (at[0] & 7)) for at in _places(np.array([s]))):
-                        known[s] = found.view(np.int64)
-            return (list(known), list(known.values())) if known else None
+    return run
 
-        yield from _batches(fields, words, each)(batches)
 
-    return run, "set long, shingles array<long>"
+def _counted(words: int, top: int, bottom: int):
+    """A mapInArrow function over (cell, salt, is_member, set, text), sorted: the members that are linked with the cell's centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, centre = None, None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part, a, b = batch.slice(i, 64), [], []
+                for c, member, found, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(4), words), part.column(3).to_pylist(), strict=True):
+                    if not member:
+                        cell, centre = c, found
+                    elif c == cell:
+                        both = len(np.intersect1d(centre, found, assume_unique=True))
+                        if bottom * both >= top * (len(centre) + len(found) - both):
+                            a.append(c)
+                            b.append(s)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _passes(top: int, bottom: int):
@@ -315,15 +335,6 @@ def _cells(top: int, bottom: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The pairs whose shingles, counted exactly, link them."""
-    one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.filter(bottom * both >= top * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
-
-
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, top: int = 80, bottom: int = 100, block: int = BLOCK) -> DataFrame:
     """One row per row of df: key, n_shingles, component_id, verified_links.
 
@@ -364,11 +375,16 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     stars = scratch.save(described.select("a", "b", "n_a", "n_b", "data_a", "data_b").mapInArrow(_passes(top, bottom), "a long, b long"), "stars")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        wanted = spark.sparkContext.broadcast(_wanted(ids))
-        run, fields = _members(words, wanted)
-        found = docs.mapInArrow(run, fields).join(ids, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
-        return scratch.save(_linked(pairs, scratch.save(found, f"{name}-shingles"), top, bottom), name)
+        """The pairs that are linked: whole texts of the sets they name meet at the first of the pair, in groups of bounded size."""
+        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+        members = pairs.join(salts, "a").select(F.col("b").alias("set"), F.col("a").alias("cell"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("is_member"))
+        centres = salts.select(F.col("a").alias("set"), F.col("a").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_member"))
+        ends = scratch.save(members.union(centres), f"{name}-ends")
+        keys = ends.select("set").distinct().join(per_set.select("set", "id"), "set").filter("id is not null").select(F.col("id").alias("set"))
+        run = _texts(words, spark.sparkContext.broadcast(_wanted(keys)))
+        texts = docs.select("id", "text").mapInArrow(run, "set long, text string")
+        met = texts.join(ends, "set").select("cell", "salt", "is_member", "set", "text").repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_member")
+        return scratch.save(met.mapInArrow(_counted(words, top, bottom), "a long, b long"), name)
 
     links = verified(stars, "star-links")
     # cells: all that met a representative, with whether they are linked with it
