@@ -68,8 +68,11 @@ def set_id(found: np.ndarray) -> int:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """One parity bit for each residue of the hashes; as many bits as the next power of two above the set's size."""
-    bits = max(64, 1 << int(len(found)).bit_length())
+    """One parity bit for each residue of the hashes; four to eight times as many bits as the set has shingles.
+
+    So a pair that is only nearly linked seldom passes: few of its differences fall on the same bit.
+    """
+    bits = max(64, 4 << int(len(found)).bit_length())
     odd = (np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
