@@ -101,7 +101,7 @@ def grades(words: list[set[str]], toxic: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[np.ndarray], grade: np.ndarray, levels: int = 2, ridge: float = RIDGE, most: int = FEATURES, rounds: int = ROUNDS) -> Ordinal:
     """Fit to rows (each an array of feature numbers, repeats counted) and their grades."""
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], np.int64)
     at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
     # a feature of few rows says nothing that would hold elsewhere, one as frequent in either kind of rows says nothing
