@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ TELLING = 4.0
 REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 500_000
+#: Rows that a step of the fit turns into floating point at a time.
+BLOCK = 1024
 
 
 def _hash(s: str) -> int:
@@ -86,58 +88,69 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thresholds, -40, 40)))
 
 
-def grades(words: list[set[str]], toxic: np.ndarray) -> np.ndarray:
-    """Severity grades of labelled rows."""
-    clean, bad = Counter(), Counter()
-    for w, t in zip(words, toxic, strict=True):
-        (bad if t else clean).update(w)
-    telling = {w for w, n in bad.items() if n >= 4 and w not in clean}
+def grades(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Severity grades of labelled rows; words has the distinct word numbers of each."""
     out = toxic.astype(np.int64)
-    found = np.array([len(w & telling) for w, t in zip(words, toxic, strict=True) if t])
-    if len(found):
+    bad, clean = [w for w, t in zip(words, toxic, strict=True) if t], [w for w, t in zip(words, toxic, strict=True) if not t]
+    if bad:
+        ids, n = np.unique(np.concatenate(bad), return_counts=True)
+        telling = np.setdiff1d(ids[n >= 4], np.concatenate(clean) if clean else ids[:0])
+        found = np.array([np.isin(w, telling).sum() for w in bad])
         out[toxic == 1] += found > np.median(found)
     return out
 
 
 def fit(rows: list[np.ndarray], grade: np.ndarray, levels: int = 2, ridge: float = RIDGE, most: int = FEATURES, rounds: int = ROUNDS) -> Ordinal:
     """Fit to rows (each an array of feature numbers, repeats counted) and their grades."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-    of = np.repeat(np.arange(len(rows)), sizes)
     # a feature of few rows says nothing that would hold elsewhere, one as frequent in either kind of rows says nothing
     bad = grade > 0
-    once = np.unique(of * DIMENSIONS + at)
-    in_bad = np.bincount(once[bad[once // DIMENSIONS]] % DIMENSIONS, minlength=DIMENSIONS)
-    in_all = np.bincount(once % DIMENSIONS, minlength=DIMENSIONS)
+
+    def block(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row (from i) and number of each feature of BLOCK rows."""
+        part = rows[i : i + BLOCK]
+        return np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part).astype(np.int64)
+
+    in_bad, in_all = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
+    for i in range(0, len(rows), BLOCK):
+        of, at = block(i)
+        of, at = np.divmod(np.unique(of * DIMENSIONS + at), DIMENSIONS)
+        in_all += np.bincount(at, minlength=DIMENSIONS)
+        in_bad += np.bincount(at[bad[i + of]], minlength=DIMENSIONS)
     nb, ng = max(1, bad.sum()), max(1, (~bad).sum())
     p = in_all / max(1, len(rows))
     z = (in_bad / nb - (in_all - in_bad) / ng) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / nb + 1 / ng))
     seen = (in_all >= 4) & (z >= TELLING)
-    of, at = of[seen[at]], at[seen[at]]
     used = np.flatnonzero(seen)
     used = np.sort(used[np.argsort(-z[used], kind="stable")[:most]])
     column = np.full(DIMENSIONS, -1)
     column[used] = np.arange(len(used))
-    of, at = of[column[at] >= 0], column[at[column[at] >= 0]]
-    x = np.zeros((len(rows), len(used) + levels))
-    np.add.at(x, (of, at), 1.0)
-    x[:, : len(used)] = np.minimum(x[:, : len(used)], 4)
+    n = len(used)
+    x = np.zeros((len(rows), n), np.uint8)  # a feature counts four times at most
+    for i in range(0, len(rows), BLOCK):
+        of, at = block(i)
+        at = column[at]
+        count = np.zeros((min(BLOCK, len(rows) - i), n), np.int32)
+        np.add.at(count, (of[at >= 0], at[at >= 0]), 1)
+        x[i : i + BLOCK] = np.minimum(count, 4)
     above = grade[:, None] >= np.arange(1, levels + 1)
     weight = np.where(bad, min(HEAVIER, max(1.0, ng / nb)), 1.0)
     penalty = np.r_[ridge * TELLING / z[used], np.full(levels, 1e-6)]  # the surer the difference, the smaller
     w = np.r_[np.zeros(len(used)), np.linspace(1.0, 3.0, levels)]  # the thresholds stand behind the weights
 
     def step(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        base = x[:, : len(used)] @ w[: len(used)]
         loss, slope, curve = 0.5 * (penalty * w**2).sum(), penalty * w, np.diag(penalty)
-        for k in range(levels):
-            score = base - w[len(used) + k]
+        for i in range(0, len(x), BLOCK):  # so that no copy of all rows is made
+            part, heavy, over = x[i : i + BLOCK].astype(float), weight[i : i + BLOCK], above[i : i + BLOCK]
+            score = (part @ w[:n])[:, None] - w[n:]
             p = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
-            x[:, len(used) :] = 0
-            x[:, len(used) + k] = -1
-            loss += (weight * (np.logaddexp(0, score) - above[:, k] * score)).sum()
-            slope = slope + x.T @ (weight * (p - above[:, k]))
-            curve = curve + x.T @ (x * (weight * p * (1 - p))[:, None])
+            pull, bend = heavy[:, None] * (p - over), heavy[:, None] * p * (1 - p)
+            loss += (heavy[:, None] * (np.logaddexp(0, score) - over * score)).sum()
+            slope += np.r_[part.T @ pull.sum(1), -pull.sum(0)]
+            cross = part.T @ bend
+            curve[:n, :n] += part.T @ (part * bend.sum(1)[:, None])
+            curve[:n, n:] -= cross
+            curve[n:, :n] -= cross.T
+            curve[n:, n:] += np.diag(bend.sum(0))
         return loss, slope, curve
 
     loss, slope, curve = step(w)
@@ -166,25 +179,29 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, levels: int = 2, ridge: float
     return Ordinal(weights, theta)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[set[str]], np.ndarray]:
-    """Distinct words and labels of at most sample labelled rows (those with the smallest key hashes)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Distinct word numbers, features and labels of at most sample labelled rows (those with the smallest key hashes).
+
+    Words are numbered by 64-bit hashes on the executors, so the driver holds arrays and no texts.
+    """
     chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most sample rows of two numbers
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(distinct_words(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([" ".join(f) for f in found])], names=["doc_id", "toxic", "words"])
+            words = [b"".join([blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in f]) for f in found]
+            features = [np.array([x for w in f for x in word_features(w)], "<u4").tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.binary()), pa.array(features, pa.binary())], names=["doc_id", "toxic", "words", "features"])
 
-    got = sorted(tuple(r) for r in joined.select("doc_id", "text", "toxic").mapInArrow(words, "doc_id long, toxic int, words string").collect())
-    return [set(w.split()) for _, _, w in got], np.array([t for _, t, _ in got], np.int64)
+    rows = joined.select("doc_id", "text", "toxic").mapInArrow(numbers, "doc_id long, toxic int, words binary, features binary")
+    got = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in rows.collect())
+    return [np.frombuffer(w, "<u8") for _, _, w, _ in got], [np.frombuffer(f, "<u4") for *_, f in got], np.array([t for _, t, _, _ in got], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    words, toxic = labelled_sample(docs, labels, sample)
-    features = {x: word_features(x) for x in set().union(*words)} if words else {}
-    rows = [np.array([f for x in sorted(w) for f in features[x]], np.int64) for w in words]
+    words, rows, toxic = labelled_sample(docs, labels, sample)
     return fit(rows, grades(words, toxic))
 
 
