@@ -81,7 +81,7 @@ class Encoder:
             self.known = {"": b""}
         known = self.known
         runs = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for r in runs for w in r if w not in known}
+        fresh = set().union(*runs).difference(known)
         plain = {w: self.CUT.findall(w.lower()) for w in fresh if w.isascii() and not self.UNSURE.search(w)}
         single = list({p for cut in plain.values() for p in cut if p not in known})
         for i in range(0, len(single), 2048):  # each is one word to the tokenizer: together they are one text
@@ -92,11 +92,11 @@ class Encoder:
             for w, begin, end in zip(part, edges[:-1], edges[1:], strict=True):
                 known[w] = ids[begin:end].tobytes()
         whole = list(fresh - plain.keys())
-        for w, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
         for w, cut in plain.items():
             known[w] = b"".join([known[p] for p in cut])
-        return [np.frombuffer(b"".join([known[w] for w in r]), "<u4") for r in runs]
+        return [np.frombuffer(b"".join(map(known.__getitem__, r)), "<u4") for r in runs]
 
 
 _encoders: dict[str, Encoder] = {}
