@@ -1,18 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed to trees. Pages of the same host are aligned by simple tree matching: two nodes match if their tags
-do, and children are matched in order so that most nodes match. A matched node whose own text is the same in both pages
-is constant, another one varies. Votes for (host, path) are added up over all pages; they tell which part of a host's
-template is a slot for content (the path that holds most of the varying text), and which constant nodes belong to the
-template. A page's text is then what stands in its content slot, without parts that are marked as something else.
-
-Alignment works inside each partition (a page against the first page of its host there), so no page is moved and
-a host with a third of all pages is no heavier than others; only votes are shuffled. A page that marks its article
-needs no votes to find it: induced slots serve pages without such marks.
+Pages are parsed to trees. Each page is aligned by simple tree matching with its host's reference, one page for the whole
+table (the one whose content has the least hash, so no split of the input changes it): two nodes match if their tags do,
+and children are matched in order so that most nodes match. A matched node whose own text is the same in both pages is
+constant, another one varies. The varying characters of (host, path) are added up over all pages; they tell which part
+of a host's template is its slot for content, and the slot decides what a page's text is. Article and main tags are a
+check (the slot isn't cut narrower than one that holds half of the varying text) and the fallback for pages without a
+slot: hosts of one content, pages without a host, hosts without a common part below body, and pages that lack the slot.
+
+A second pass finds what repeats inside the slot: a leaf node of the reference's slot that nearly all other texts of the
+host's slot have too is template. Texts are counted once, however many pages hold them, so copies are no evidence.
+
+References are broadcast while they are small, so no page is moved; only sums, and the repeated nodes, are shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -40,8 +44,10 @@ ENDS_P = BLOCK - {"br", "body", "html", "head", "caption", "tbody", "td", "tfoot
 #: Words of class names, ids and roles that mark something other than the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ARTICLE = ("article", "main")
-#: A constant node is taken for template inside the slot only on hosts of so many pages, in so many of them.
+#: A constant node is taken for template inside the slot only on hosts of so many different texts, in so many of them.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 20, 0.98
+#: Characters of all references together up to which they are broadcast.
+BROADCAST_CHARS = 32 << 20
 #: Pairs of children up to which the best alignment is sought; longer lists are aligned by equal tags in order.
 ALIGN_PAIRS = 40_000
 
@@ -133,7 +139,7 @@ def parse(page: str) -> Node:
                 if open_[k].tag in limits:
                     break
         marked, name = _marked(tag, rest)
-        node = Node(tag, marked or tag in OTHER, f"{open_[-1].path}/{tag}" + (f".{name}" if name else ""))
+        node = Node(tag, marked or tag in OTHER, f"{open_[-1].path}/{tag}" + (f".{name}" if name and tag not in ARTICLE else ""))
         open_[-1].children.append(node)
         if tag in RAW:
             open_.append(node)
@@ -216,7 +222,7 @@ def votes(page: Node, other: Node) -> tuple[dict[str, int], list[tuple[str, int]
 
 
 def slot_path(varying: dict[str, int]) -> str:
-    """The deepest path that holds nine tenths of the varying characters."""
+    """The deepest path that holds nine tenths of the varying characters, or else an article that holds half; empty if that is the page."""
     total, at = sum(varying.values()), ""
     while total:
         below = defaultdict(int)
@@ -227,7 +233,16 @@ def slot_path(varying: dict[str, int]) -> str:
         if best is None or below[best] < 0.9 * total or best.rsplit("/", 1)[-1].split(".")[0] in ("p", "b", "i", "a", "span", "em", "strong", "h1", "h2", "h3", "ul", "ol", "li", "pre", "blockquote"):
             break
         at = best
-    return at
+    held = defaultdict(int)
+    for path, n in varying.items():
+        for tag in ARTICLE:
+            if m := re.match(rf".*?/{tag}(?=/|\Z)", path):
+                held[m[0]] += n
+                break
+    best = max(held, key=lambda p: (held[p], p), default=None)
+    if best is not None and 2 * held[best] >= total:
+        return best
+    return "" if at.rsplit("/", 1)[-1].split(".")[0] in ("", "html", "body") else at
 
 
 def _found(root: Node, wanted) -> list[Node]:
@@ -248,13 +263,9 @@ def _in_article(node: Node) -> bool:
     return any(x.tag in ("h1", "h2") for x in _found(node, lambda x: x.tag in ("h1", "h2")))
 
 
-def text_of(root: Node, slot: str = "", template: frozenset[tuple[str, int]] = frozenset()) -> str:
-    """The text of a page's article: of its article or main elements, else of its host's slot, else of the page."""
-    for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main", lambda x: bool(slot) and x.path == slot, lambda x: x.tag == "body", lambda x: x is root):
-        parts = _found(root, wanted)
-        if parts:
-            break
-    inside = bool(parts) and parts[0].tag in ARTICLE
+def _rendered(parts: list[Node], template: frozenset[tuple[str, int]], leaves: set[tuple[str, int]] | None = None) -> str:
+    """The text of some nodes without the template; their leaf nodes are added to leaves."""
+    inside = bool(parts) and parts[0].tag not in ("body", "html", "#")
     out: list[str] = []
     todo: list[Node | str] = list(reversed(parts))
     while todo:
@@ -264,8 +275,12 @@ def text_of(root: Node, slot: str = "", template: frozenset[tuple[str, int]] = f
             continue
         if x.marked or x.tag == "header" and not (inside and _in_article(x)):
             continue
-        if template and not x.elements() and (x.path, _code(x.own_text())) in template:
-            continue
+        if (template or leaves is not None) and not x.elements():
+            key = (x.path, _code(x.own_text()))
+            if key in template:
+                continue
+            if leaves is not None and x.children and x.path:
+                leaves.add(key)
         if x.tag in BLOCK:
             out.append(" ")
             todo.append(" ")
@@ -273,61 +288,116 @@ def text_of(root: Node, slot: str = "", template: frozenset[tuple[str, int]] = f
     return " ".join("".join(out).split())
 
 
+def parts_of(root: Node, slot: str = "") -> list[Node]:
+    """The nodes a page's text stands in: its host's slot; without one that has text its article or main elements, else the page."""
+    seen = []
+    for wanted in (lambda x: bool(slot) and x.path == slot, lambda x: x.tag == "article", lambda x: x.tag == "main"):
+        parts = _found(root, wanted)
+        if parts and _rendered(parts, frozenset()):
+            return parts
+        seen = seen or parts
+    return seen or _found(root, lambda x: x.tag == "body") or _found(root, lambda x: x is root)
+
+
+def text_of(root: Node, slot: str = "", template: frozenset[tuple[str, int]] = frozenset()) -> str:
+    """The text of a page's article: what its host's slot holds, without the template; see parts_of for pages without a slot."""
+    return _rendered(parts_of(root, slot), template)
+
+
+def _slot_text(root: Node, slot: str) -> tuple[int, set[tuple[str, int]]]:
+    """A 64-bit hash of the text in a page's slot, and the slot's leaf nodes (path, hash)."""
+    leaves: set[tuple[str, int]] = set()
+    text = _rendered(parts_of(root, slot), frozenset(), leaves)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), leaves
+
+
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case; null and malformed URLs share an empty one."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def _record(rows: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), names.values(), strict=True)], names=list(names))
+
+
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first: dict[str, Node] = {}
+    """(host, path, n) from (host, html, reference): varying characters of pages held against their host's reference."""
+    known: dict[str, Node] = {}
     for batch in batches:
-        amounts, counts, pages = defaultdict(int), defaultdict(int), defaultdict(int)
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root = parse(page or "")
-            pages[host] += 1
-            if host not in first:
-                if len(first) > 2000:
-                    first.clear()
-                first[host] = root
+        amounts = defaultdict(int)
+        for host, page, other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if page == other:
                 continue
-            varying, constant = votes(root, first[host])
-            for path, n in varying.items():
+            if host not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[host] = parse(other)
+            for path, n in votes(parse(page), known[host])[0].items():
                 amounts[host, path] += n
-            for path, code in set(constant):
-                counts[host, path, code] += 1
-        rows = [(h, "", "pages", 0, n) for h, n in pages.items()] + [(h, p, "varying", 0, n) for (h, p), n in amounts.items()] + [(h, p, "constant", c, n) for (h, p, c), n in counts.items()]
+        if amounts:
+            yield _record([(*k, n) for k, n in amounts.items()], {"host": pa.string(), "path": pa.string(), "n": pa.int64()})
+
+
+def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (host, html, reference, slot): a row (host, "", 0, text) for each text that isn't the reference's, and one for each leaf node (path, code) it shares with it."""
+    known: dict[str, tuple] = {}
+    for batch in batches:
+        rows: set[tuple] = set()
+        for host, page, other, slot in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if page == other:
+                continue
+            if host not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[host] = _slot_text(parse(other), slot or "")
+            mine, leaves = _slot_text(parse(page), slot or "")
+            theirs, shared = known[host]
+            if mine != theirs:
+                rows.add((host, "", 0, mine))
+                rows.update((host, *leaf, mine) for leaf in leaves & shared)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "kind", "code", "n"])
+            yield _record(list(rows), {"host": pa.string(), "path": pa.string(), "code": pa.int64(), "text": pa.int64()})
 
 
-def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, slot, template) for each host: its content slot, and its constant nodes as strings path TAB hash."""
-    added = scratch.save(pages.select("host", "html").mapInArrow(_vote_rows, "host string, path string, kind string, code long, n long").groupBy("host", "path", "kind", "code").agg(F.sum("n").alias("n")), "votes")
-    size = added.filter("kind = 'pages'").select("host", F.col("n").alias("pages"))
-    sure = added.filter("kind = 'constant'").join(size, "host").filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * (F.col("pages") - 1)))
-    sure = sure.groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws("\t", "path", "code"))).alias("template"))  # nodes that nearly all pages of a host share: no more than one page has
-    # the paths of a host: no more than its template has different places
-    slots = added.filter("kind = 'varying'").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "n"))).alias("varying"))
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [slot_path(dict(v or [])) for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "slot"])
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [slot_path(dict(v or [])) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "slot"])
 
-    return scratch.save(slots.mapInArrow(chosen, "host string, slot string").join(sure, "host", "full"), "wrappers")
+def induce(pages: DataFrame, scratch: Scratch, broadcast_rows: int = 200_000) -> DataFrame:
+    """(host, slot, template) for each host of several contents: its content slot, and its template nodes as strings path TAB hash."""
+    hosted = pages.filter("host <> '' and trim(html) <> ''").select("host", "html", F.xxhash64("html").alias("h"))
+    least = scratch.save(hosted.groupBy("host").agg(F.min("h").alias("h"), F.max("h").alias("most")).filter("h < most").select("host", "h"), "least")
+    few = least.limit(broadcast_rows + 1).count() <= broadcast_rows
+    references = scratch.save(hosted.join(F.broadcast(least) if few else least, ["host", "h"]).dropDuplicates(["host"]).select("host", F.col("html").alias("reference")), "references")
+    small = few and (references.agg(F.sum(F.length("reference"))).first()[0] or 0) <= BROADCAST_CHARS
+    held = hosted.select("host", "html").join(F.broadcast(references) if small else references, "host")
+
+    added = held.mapInArrow(_vote_rows, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    # the paths of a host: no more than its template has different places
+    paths = added.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "n"))).alias("varying"))
+    slots = scratch.save(paths.mapInArrow(_chosen, "host string, slot string"), "slots")
+
+    slotted = held.join(F.broadcast(slots) if few else slots, "host", "left").select("host", "html", "reference", "slot")
+    repeated = scratch.save(slotted.mapInArrow(_repeated_rows, "host string, path string, code long, text long").distinct().groupBy("host", "path", "code").agg(F.count("*").alias("n")), "repeated")
+    size = repeated.filter("path = ''").select("host", F.col("n").alias("texts"))
+    sure = repeated.filter("path <> ''").join(size, "host").filter((F.col("texts") >= TEMPLATE_PAGES - 1) & (F.col("n") >= TEMPLATE_SHARE * F.col("texts")))
+    sure = sure.groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws("\t", "path", "code"))).alias("template"))  # nodes of the reference: no more than one page has
+    return scratch.save(slots.join(sure, "host", "full"), "wrappers")
 
 
 def extract_text(df: DataFrame, markup: str = "html", url: str = "url", key: str = "page_id", broadcast_rows: int = 200_000) -> DataFrame:
     """One row per row of df: page_id, url, text (empty if none), n_chars (code points).
 
-    Null and empty pages have empty text; null and malformed URLs are one host. Whole pages are read and nothing of
-    the article is cut. Hosts' wrappers are broadcast up to broadcast_rows hosts, else joined by a shuffle.
+    Null and empty pages have empty text; pages with null and malformed URLs have no host, so no slot and no template.
+    Whole pages are read and nothing of the article is cut. Hosts' wrappers are broadcast up to broadcast_rows hosts, else joined by a shuffle.
     """
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "html-wrapper")
     pages = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(markup).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    wrappers = induce(pages, scratch)
+    wrappers = induce(pages, scratch, broadcast_rows)
     few = wrappers.limit(broadcast_rows + 1).count() <= broadcast_rows
     joined = pages.join(F.broadcast(wrappers) if few else wrappers, "host", "left").select("page_id", "url", "html", "slot", "template")
 

@@ -121,6 +121,24 @@ def test_html_wrapper_finds_the_varying_slot():
     assert hw.text_of(trees[2], "/body/div.x") == "blue first blue second text"
 
 
+def extracted(spark, rows, parts=2):
+    """The texts of (page_id, url, html) rows by page_id, the rows spread over so many partitions."""
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return [r.text for r in sorted(hw.extract_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_slot_decides_over_tags(spark):
+    card = "<article><h3>Other story</h3></article>"
+    rows = [(i, f"http://a.org/{i}", f"<body><div class=list>{card}{card}</div><div class=story><p>Tale {i} of many words</p><p>and its end {i * i}</p></div></body>") for i in range(6)]
+    assert extracted(spark, rows) == [f"Tale {i} of many words and its end {i * i}" for i in range(6)]
+    # a page without the slot, a host of one page and pages without a host fall back to tags
+    other = [(9, "http://a.org/x", f"<body>menu {card}</body>"), (10, "http://b.org/", f"<body>menu {card}</body>"), (11, None, "<body>menu <article>a</article></body>"), (12, "bad", "<body>menu <article>b</article></body>")]
+    assert extracted(spark, rows + other)[6:] == ["Other story", "Other story", "a", "b"]
+    # an article is kept whole though most of the varying text stands in one part of it
+    rows = [(i, f"http://c.org/{i}", f"<body><p>top</p><article><h1>Head {i}</h1><div><p>{f'long text {i} ' * 30}</p></div></article></body>") for i in range(4)]
+    assert all(t.startswith(f"Head {i} long text {i}") for i, t in enumerate(extracted(spark, rows)))
+
+
 def test_secrets(docs, nothing, spark):
     model = secrets.Automaton(secrets.labelled_credentials())
     other = next(w for w in secrets.labelled_credentials(30, seed=6) if w.startswith("ghp_") and model.score(w) > secrets.MARGIN)
