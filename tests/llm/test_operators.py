@@ -139,6 +139,15 @@ def test_html_slot_decides_over_tags(spark):
     assert all(t.startswith(f"Head {i} long text {i}") for i, t in enumerate(extracted(spark, rows)))
 
 
+def test_html_copies_are_no_template(spark):
+    page = "<body><article><h1>Head</h1><p>first part</p><p>second part</p></article></body>"
+    for url in ("http://a.org/", None, "bad"):
+        assert set(extracted(spark, [(i, url, page) for i in range(25)], 1)) == {"Head first part second part"}
+    # the same two articles in pages that differ elsewhere
+    rows = [(i, f"http://a.org/{i}", page.replace("<article>", f"<p>visit {i}</p><article>").replace("second", "2nd" if i % 2 else "second")) for i in range(40)]
+    assert all("Head first part " + ("2nd part" if i % 2 else "second part") in t for i, t in enumerate(extracted(spark, rows, 1)))
+
+
 def test_secrets(docs, nothing, spark):
     model = secrets.Automaton(secrets.labelled_credentials())
     other = next(w for w in secrets.labelled_credentials(30, seed=6) if w.startswith("ghp_") and model.score(w) > secrets.MARGIN)
