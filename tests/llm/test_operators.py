@@ -148,6 +148,13 @@ def test_html_copies_are_no_template(spark):
     assert all("Head first part " + ("2nd part" if i % 2 else "second part") in t for i, t in enumerate(extracted(spark, rows, 1)))
 
 
+def test_html_is_the_same_in_any_partitions(spark):
+    rows = [(i, f"http://a.org/{i}", f"<body><article><p>Tale {i} of words</p><div>Sign up now</div><p>end {i * i}</p></article></body>") for i in range(60)]
+    want = [f"Tale {i} of words end {i * i}" for i in range(60)]
+    assert extracted(spark, rows, 1) == want
+    assert extracted(spark, rows, 30) == want
+
+
 def test_secrets(docs, nothing, spark):
     model = secrets.Automaton(secrets.labelled_credentials())
     other = next(w for w in secrets.labelled_credentials(30, seed=6) if w.startswith("ghp_") and model.score(w) > secrets.MARGIN)
