@@ -5,8 +5,10 @@ each symbol and ended in. States are merged, from the root on, where their frequ
 differ by no more than Hoeffding's bound allows; the result is a probabilistic automaton. The first characters of a
 credential are symbols of their own, as formats have fixed beginnings; later ones stand for their class.
 
-Scoring: every run of credential characters is a candidate. It is reported if its probability under the automaton,
-for each character, exceeds that under a background model by a margin.
+Scoring: in every run of credential characters the automaton reads from each start, that is the run's own and each
+place behind a character that is no letter or digit (a name, path or host may stand before a credential). Of the words
+that end before such a character or with the run, the longest is reported whose probability under the automaton, for
+each character, exceeds that under a background model by a margin.
 """
 
 from __future__ import annotations
@@ -31,15 +33,17 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "learned")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A candidate: characters that credentials consist of, so many of them at least.
+#: A run: characters that credentials consist of, so many of them at least; and where a word may start in it.
 SHORTEST = 16
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9+/_.=-]")
 LITERAL = 5
 ALPHA, MARGIN = 0.02, 0.35
 CLASSES = ((string.ascii_uppercase, "U"), ("abcdef", "h"), (string.ascii_lowercase, "l"), (string.digits, "d"))
 _CLASS = {c: k for letters, k in reversed(CLASSES) for c in letters}
 #: How likely ordinary text has each class at a place of a long run; any other character has the rest.
 BACKGROUND = {"U": 0.06, "h": 0.25, "l": 0.55, "d": 0.06}
+_PLAIN, _OTHER = {c: math.log(BACKGROUND[k]) for c, k in _CLASS.items()}, math.log(0.08)
 
 
 def labelled_credentials(each: int = 80, seed: int = 11) -> list[str]:
@@ -152,9 +156,33 @@ class Automaton:
             total += p
         if self.end[state] is None:
             return -math.inf
-        plain = sum(math.log(BACKGROUND.get(_CLASS.get(c, c), 0.08)) for c in word)
+        plain = sum(_PLAIN.get(c, _OTHER) for c in word)
         return (total + self.end[state] - plain) / len(word)
 
+    def read(self, text: str, at: int, stop: int, margin: float) -> int:
+        """Where the longest word ends that starts at a place and scores above the margin; at if there is none.
+
+        Words end at stop or before a character that is no letter or digit. No more is read than the automaton knows.
+        """
+        best = at
+        for hexes in (False, True):  # words of hex digits only have symbols of their own
+            state, total, plain, only = 0, 0.0, 0.0, True
+            for i in range(at, stop):
+                c = text[i]
+                only = only and c in "0123456789abcdef"
+                if hexes and not only:
+                    break
+                got = self.step[state].get(c if not hexes and i - at < LITERAL else _CLASS.get(c, c))
+                if got is None:
+                    break
+                state, p = got
+                total += p
+                plain += _PLAIN.get(c, _OTHER)
+                size = i + 1 - at
+                if size >= SHORTEST and only == hexes and self.end[state] is not None and (i + 1 == stop or not text[i + 1].isalnum()) and (total + self.end[state] - plain) / size > margin:
+                    best = max(best, i + 1)
+        return best
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the fixed patterns find, as indexes into KINDS and code points."""
@@ -176,10 +204,14 @@ def all_spans(text: str, model: Automaton | None, margin: float = MARGIN) -> lis
     if model is not None:
         fixed = [(s, e) for s, _, e in out]
         for a, b in runs:
-            word = text[a:b].strip(".=-/+_")
-            at = text.index(word, a) if word else a
-            if len(word) >= SHORTEST and not any(s < at + len(word) and at < e for s, e in fixed) and model.score(word) > margin:
-                out.append((at, 3, at + len(word)))
+            done = a
+            for m in START.finditer(text, a, b):
+                at = m.start()
+                if at < done or (end := model.read(text, at, b, margin)) == at:
+                    continue
+                done = end
+                if not any(s < end and at < e for s, e in fixed):
+                    out.append((at, 3, end))
     return sorted(out)
 
 

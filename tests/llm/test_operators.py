@@ -170,6 +170,19 @@ def test_secrets(docs, nothing, spark):
     assert all(r.n_assign == r.n_learned == 0 for r in secrets.find_secrets(docs).collect()) and secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_in_text():
+    model = secrets.Automaton(secrets.labelled_credentials())
+    held = [w for w in secrets.labelled_credentials(30, seed=5) if model.score(w) > secrets.MARGIN]
+    assert any(w[-1] in "-_" for w in held)
+    for before, after in (("", ""), ("GH_PAT=", "\n"), ("https://host.example.org/x?k=", "&b=1"), ("see /srv/keys/", "."), ("https://u.example.org/a-b/", "/c"), ("x=1.", "="), ("--", " ")):
+        for w in held:
+            text = f"{before}{w}{after}"
+            a, b = len(before), len(before) + len(w)
+            assert any(s <= a and b <= e for s, _, e in secrets.all_spans(text, model)), text
+    assert not any(k == 3 for _, k, _ in secrets.all_spans("https://www.example.org/internationalization/of-some_long.path=x " + "-=" * 40, model))
+    assert secrets.all_spans("a/" * 3000, model) == []
+
+
 def test_token_records(docs, nothing):
     from tokenizers import Tokenizer
 
