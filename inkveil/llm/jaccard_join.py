@@ -16,6 +16,10 @@
    all that met the same representative, in blocks of bounded size, by sketches; pairs which both are linked with it
    are known to be connected and are skipped. Survivors are counted exactly.
 6. Links are joined into components. No step emits all pairs of a group.
+7. If all links are wanted, they are counted in the cells too, a representative in its own: a linked pair shares a cell,
+   and is counted in the first that it shares. Sketches pick the members that may have a link; of these whole shingle sets
+   meet in blocks of bounded size, and each block gives sums for its members. That work is in proportion to the pairs of
+   a cell, what is written is not.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ COUNTERS, PIECES = 1 << 21, 16
 RARE, DEVIATIONS = 48, 6
 #: Members of a representative's cell that one group compares.
 BLOCK = 1024
+#: Shingles of one side of a block whose links are all counted.
+SIDE = 1 << 22
 #: Bits of the filter that picks the texts to be counted exactly (a fixed 2 MB).
 FILTER_BITS = 1 << 24
 
@@ -338,12 +344,107 @@ def _cells(top: int, bottom: int):
     return run
 
 
-def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, top: int = 80, bottom: int = 100, block: int = BLOCK) -> DataFrame:
-    """One row per row of df: key, n_shingles, component_id, verified_links.
+def _by_group(batches, names: tuple[str, ...], each=None) -> Iterator[dict[str, list]]:
+    """Columns of each group of equal (cell, i, j) from sorted rows; each makes values of a batch's last column."""
+    key, rows = None, None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            last = part.column(part.num_columns - 1)
+            columns = [c.to_pylist() for c in part.columns[:-1]] + [each(last) if each else last.to_pylist()]
+            for r in zip(*columns, strict=True):
+                if r[:3] != key:
+                    if rows is not None:
+                        yield rows
+                    key, rows = r[:3], {k: [] for k in names}
+                for k, v in zip(names, r, strict=True):
+                    rows[k].append(v)
+    if rows is not None:
+        yield rows
+
+
+def _sides(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of a group are held against which: all against all, or the blocks i and j."""
+    i, j, side = rows["i"][0], rows["j"][0], np.array(rows["side"])
+    every = np.arange(len(side))
+    return (every, every) if i == j else (np.flatnonzero(side == i), np.flatnonzero(side == j))
+
+
+def _hopeful(top: int, bottom: int):
+    """A mapInArrow function over (cell, i, j, side, set, n, data), sorted: (cell, set) that sizes and sketches let have a link there."""
+
+    def run(batches):
+        for rows in _by_group(batches, ("cell", "i", "j", "side", "set", "n", "data")):
+            n = np.array(rows["n"], np.int64)
+            width = min(len(x) for x in rows["data"]) // 8
+            bits = np.stack([folded(np.frombuffer(x, np.uint64), width) for x in rows["data"]])
+            left, right = _sides(rows)
+            good = np.zeros(len(n), bool)
+            for i in left.tolist():
+                near = right[right != i]
+                near = near[np.minimum(n[near], n[i]) * bottom >= np.maximum(n[near], n[i]) * top]
+                apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+                near = near[apart <= (n[near] + n[i]) * (bottom - top) // (bottom + top)]
+                good[near] = True
+                good[i] |= len(near) > 0
+            if good.any():
+                found = np.array(rows["set"], np.int64)[good]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows["cell"][0], np.int64)), pa.array(found)], names=["cell", "set"])
+
+    return run
+
+
+class _Overlap:
+    """How many elements each of some arrays of distinct values shares with one of them."""
+
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        sizes = [len(x) for x in arrays]
+        self.owner = np.repeat(np.arange(len(arrays)), sizes)
+        values, self.place = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.ends, self.mask = np.cumsum([0, *sizes]), np.zeros(len(values), bool)
+
+    def shared(self, i: int) -> np.ndarray:
+        mine = self.place[self.ends[i] : self.ends[i + 1]]
+        self.mask[mine] = True
+        out = np.bincount(self.owner[self.mask[self.place]], minlength=len(self.ends) - 1)
+        self.mask[mine] = False
+        return out
+
+
+def _all_links(words: int, top: int, bottom: int):
+    """A mapInArrow function over (cell, i, j, side, set, copies, cells, text), sorted: (set, links), links in copies of the partners.
+
+    cells are all cells of the set; a pair that shares an earlier one isn't counted here.
+    """
+
+    def run(batches):
+        for rows in _by_group(batches, ("cell", "i", "j", "side", "set", "copies", "cells", "text"), lambda texts: shingle_sets(texts, words)):
+            once = sorted({s: k for k, s in enumerate(rows["set"])}.values())  # rows that share a key and a text
+            rows = {k: [v[x] for x in once] for k, v in rows.items()}
+            n, copies = np.array([len(x) for x in rows["text"]], np.int64), np.array(rows["copies"], np.int64)
+            both, earlier = _Overlap(rows["text"]), _Overlap([np.array([c for c in x if c < rows["cell"][0]], np.int64) for x in rows["cells"]])
+            left, right = _sides(rows)
+            links = np.zeros(len(n), np.int64)
+            for i in left.tolist():
+                shared = both.shared(i)
+                linked = right[(bottom * shared >= top * (n + n[i] - shared))[right] & (earlier.shared(i) == 0)[right] & (right != i)]
+                links[i] += copies[linked].sum()
+                if left is not right:
+                    links[linked] += copies[i]
+            some = links > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows["set"], np.int64)[some]), pa.array(links[some])], names=["set", "links"])
+
+    return run
+
+
+def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, top: int = 80, bottom: int = 100, block: int = BLOCK, all_links: bool = False) -> DataFrame:
+    """One row per row of df: key, n_shingles, component_id, verified_links, and n_links if all_links.
 
     Texts are linked when bottom * (shared shingles) >= top * (shingles of either). component_id is the smallest key
     that can be reached by links, itself included; verified_links counts the links to different sets that were verified
-    (enough to join every component, not all of them) and rows with an equal set. key must be an integer; rows that
+    (enough to join every component, not all of them) and rows with an equal set. n_links counts all other rows that
+    the row is linked with, rows with an equal set included. key must be an integer; rows that
     share a key stay rows of their own. A row with a null key has component_id null unless another row's key is
     reached. Null, empty and blank texts have no shingles and their own key as component. An empty table gives an
     empty result.
@@ -377,16 +478,19 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     described = met.join(info.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("data").alias("data_a")), "a").join(info.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("data").alias("data_b")), "b")
     stars = scratch.save(described.select("a", "b", "n_a", "n_b", "data_a", "data_b").mapInArrow(_passes(top, bottom), "a long, b long"), "stars")
 
+    def texts_of(sets: DataFrame) -> DataFrame:
+        """(set, text) of the rows that have these sets, and perhaps of others."""
+        keys = sets.select("set").distinct().join(per_set.select("set", "id"), "set").filter("id is not null").select(F.col("id").alias("set"))
+        run = _texts(words, spark.sparkContext.broadcast(_wanted(keys)))
+        return docs.select("id", "text").mapInArrow(run, "set long, text string")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are linked: whole texts of the sets they name meet at the first of the pair, in groups of bounded size."""
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
         members = pairs.join(salts, "a").select(F.col("b").alias("set"), F.col("a").alias("cell"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("is_member"))
         centres = salts.select(F.col("a").alias("set"), F.col("a").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_member"))
         ends = scratch.save(members.union(centres), f"{name}-ends")
-        keys = ends.select("set").distinct().join(per_set.select("set", "id"), "set").filter("id is not null").select(F.col("id").alias("set"))
-        run = _texts(words, spark.sparkContext.broadcast(_wanted(keys)))
-        texts = docs.select("id", "text").mapInArrow(run, "set long, text string")
-        met = texts.join(ends, "set").select("cell", "salt", "is_member", "set", "text").repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_member")
+        met = texts_of(ends).join(ends, "set").select("cell", "salt", "is_member", "set", "text").repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_member")
         return scratch.save(met.mapInArrow(_counted(words, top, bottom), "a long, b long"), name)
 
     links = verified(stars, "star-links")
@@ -410,6 +514,32 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     lowest = joined.groupBy("component").agg(F.min("id").alias("lowest"))
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("linked"))
     named = joined.join(lowest, "component").join(degree, "node").select("node", "lowest", "linked")
+    if all_links:
+        member = scratch.save(met.select(F.col("a").alias("cell"), F.col("b").alias("set")).union(met.select("a", "a")).distinct(), "members")
+
+        def blocks(members: DataFrame, *columns: str) -> DataFrame:
+            """Members (cell, set, n) in pairs of blocks, sorted; the last of the columns is what a function makes values of."""
+            sizes = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+            count = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / SIDE)).cast("int")
+            placed = members.join(sizes.select("cell", count.alias("blocks")), "cell").withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int"))
+            placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            return placed.select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set", *columns)
+
+        def grouped(rows: DataFrame) -> DataFrame:
+            return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+        hopeful = grouped(blocks(member.join(info, "set"), "n", "data")).mapInArrow(_hopeful(top, bottom), "cell long, set long").distinct()
+        hopeful = scratch.save(hopeful, "hopeful")
+        cells = hopeful.groupBy("set").agg(F.collect_list("cell").alias("cells"))
+        placed = scratch.save(blocks(hopeful.join(cells, "set").join(per_set.select("set", "n", "copies"), "set"), "copies", "cells"), "counted-ends")
+        whole = grouped(placed.join(texts_of(placed), "set").select("cell", "i", "j", "side", "set", "copies", "cells", "text"))
+        counted = whole.mapInArrow(_all_links(words, top, bottom), "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
+        counted = scratch.save(counted, "counted").withColumnRenamed("set", "counted")
     labels = per_set.join(named, per_set["set"] == named["node"], "left").select(F.col("set").alias("label"), F.coalesce("lowest", "id").alias("lowest"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("verified_links"))
+    extra = []
+    if all_links:
+        labels = labels.join(per_set.select(F.col("set").alias("label"), "copies"), "label").join(counted, F.col("label") == F.col("counted"), "left")
+        labels = labels.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        extra = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = rows.join(labels, rows["set"] == labels["label"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"), F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"), F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"), *extra)

@@ -13,7 +13,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkveil.llm.jaccard_join import jaccard_components
 
-    return jaccard_components(documents(spark, sf_dir), words=3, top=90, bottom=100)
+    return jaccard_components(documents(spark, sf_dir), words=3, top=90, bottom=100, all_links=True)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,28 @@ def test_jaccard_join(spark, nothing, k, top):
     assert jaccard_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_jaccard_join_counts_all_links(spark, block):
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 400, 90)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for at in rng.integers(0, len(w), rng.integers(1, 4)):
+            w[at] = f"z{rng.integers(0, 50)}"
+        texts.append(" ".join(w))
+    texts += texts[:5] + [texts[0], None, "", "alone " * 9]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()))
+    want = [(k, sum(1 for j, b in enumerate(sets) if j != i and a and 10 * len(a & b) >= 8 * len(a | b))) for i, ((k, _), a) in enumerate(zip(rows, sets, strict=True))]
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=3, top=80, block=block, all_links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in out), key=str) == sorted(want, key=str)
+    assert sum(n for _, n in want) > sum(r.verified_links for r in out)
+
+
 def test_exact_dedup(docs, nothing):
     out = exact_dedup(docs.select("doc_id", "text")).collect()
     ones = [r for r in out if r.group_size == 5]
