@@ -90,3 +90,15 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_summary(spark):
+    import re
+
+    import pyarrow.parquet as pq
+
+    [name] = entity_patterns(["name"])
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    found = [(d["doc_id"], m[0]) for d in docs for m in re.finditer(name.regex, d["text"] or "") if m[0]]
+    got = catalog.QUERIES["detect_names_summary"](spark, "/root/testdata/sf0.01").collect()
+    assert found and [tuple(r) for r in got] == [("name", len(found), len({v.strip(" ") for _, v in found}), len({k for k, _ in found}))]
