@@ -17,10 +17,16 @@ def matches(df: DataFrame, patterns: list[Pattern], text: str = "text", keys: tu
     """keys, type, match_idx, value, start_off, end_off (code points, end exclusive): leftmost, non-overlapping, in order.
 
     Each pattern stays a literal in one projection, so it is compiled once and the text is read once; empty matches
-    are dropped. Offsets add up what stands between the matches.
+    are dropped. Offsets add up what stands between the matches. A pattern of certain pages matches on those only, if
+    the keys have a page.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = F.array(*[F.struct(F.lit(p.name).alias("type"), F.regexp_extract_all(t, F.lit(p.regex), F.lit(0)).alias("m"), F.split(t, p.regex, -1).alias("between")) for p in patterns])
+
+    def hits(p: Pattern) -> Column:
+        m = F.regexp_extract_all(t, F.lit(p.regex), F.lit(0))
+        return F.when(F.col("page").isin(*p.pages), m).otherwise(F.array().cast("array<string>")) if p.pages and "page" in keys else m
+
+    found = F.array(*[F.struct(F.lit(p.name).alias("type"), hits(p).alias("m"), F.split(t, p.regex, -1).alias("between")) for p in patterns])
     each = df.select(*keys, F.explode(F.filter(found, lambda s: F.size(s["m"]) > 0)).alias("f"))
     starts = F.aggregate(
         F.sequence(F.lit(1), F.size("f.m")),

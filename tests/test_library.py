@@ -102,3 +102,14 @@ def test_names_summary(spark):
     found = [(d["doc_id"], m[0]) for d in docs for m in re.finditer(name.regex, d["text"] or "") if m[0]]
     got = catalog.QUERIES["detect_names_summary"](spark, "/root/testdata/sf0.01").collect()
     assert found and [tuple(r) for r in got] == [("name", len(found), len({v.strip(" ") for _, v in found}), len({k for k, _ in found}))]
+
+
+def test_patterns_of_certain_pages(spark):
+    from dataclasses import replace
+
+    [email] = entity_patterns(["email"])
+    rows = [(1, page, f"a{page}@x.org and b@x.org") for page in (1, 2, 3)] + [(1, None, "c@x.org")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    got = detect.matches(df, [replace(email, name="some", pages=(1, 3)), email], keys=("doc_id", "page")).collect()
+    assert sorted((r.page, r.start_off) for r in got if r.type == "some") == [(1, 0), (1, 13), (3, 0), (3, 13)]
+    assert sum(r.type == "email" for r in got) == 7
