@@ -79,3 +79,8 @@ class Scratch:
         for name in names:
             path, files = self._at(self.path(name))
             files.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        path, files = self._at(self.root)
+        self.drop(*[n for n in (s.getPath().getName() for s in files.listStatus(path)) if n not in names])
