@@ -26,6 +26,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         new = near.join(jump, near["label"] == jump["at"]).select("node", F.least("label", "further").alias("component"), (F.least("label", "further") != near["component"]).alias("moved"))
         new = scratch.save(new, f"{name}-{turn}")
         if not new.filter("moved").limit(1).count():
+            scratch.drop(f"{name}-edges", f"{name}-{turn - 1}")
             return new.select("node", "component")
         scratch.drop(f"{name}-{turn - 1}")
         labels = new.select("node", "component")

@@ -1,25 +1,21 @@
 """Self-join of texts by the Jaccard similarity of their word shingles, exact and without pairs of copies.
 
-1. Each text becomes a set of 64-bit shingle hashes; texts with equal sets are one set from here on. Beside it stands
-   a parity sketch: each shingle flips one bit. Two sets' sketches differ in at most as many bits as the sets have
-   shingles apart, so the sketch rejects pairs but never a link.
-2. Shingles are ordered by how frequent they are, the rare first; frequencies come from counters of a fixed number
-   (all shingles of all texts are counted; a counter may hold several shingles, which only changes the order).
-3. Token-combination prefixes. A linked pair shares a shingle within the prefixes of both sets. Where a set's prefix
-   holds rare shingles only, each is a signature. Where it reaches into the frequent class, the prefix is extended to
-   the whole set, and combinations of its shingles are signatures: the set is split by hash into one part more than a
-   linked pair can differ in (for each class of sizes), so some part is the same in both, and each part's content is
-   one signature. Combinations are linear in number, and hardly any two texts share one unless they are near copies.
-4. In each signature's bucket everything is held against one representative only, the member that meets most others.
-   Pairs pass the sketch, then the exact count. That gives all links of copies with their centre, in linear work.
-5. What a bucket still hides are links of members that are not linked with the representative. They are sought among
-   all that met the same representative, in blocks of bounded size, by sketches; pairs which both are linked with it
-   are known to be connected and are skipped. Survivors are counted exactly.
-6. Links are joined into components. No step emits all pairs of a group.
-7. If all links are wanted, they are counted in the cells too, a representative in its own: a linked pair shares a cell,
-   and is counted in the first that it shares. Sketches pick the members that may have a link; of these whole shingle sets
-   meet in blocks of bounded size, and each block gives sums for its members. That work is in proportion to the pairs of
-   a cell, what is written is not.
+1. Each text becomes a set of 64-bit shingle hashes, its tokens; texts with equal sets are one set from here on. Beside
+   it stands a parity sketch: each token flips one bit. Two sets' sketches differ in at most as many bits as the sets
+   have tokens apart, so the sketch rejects pairs but never a link.
+2. All tokens of all texts are counted in a table that is dealt out by token, so it grows with the data and no task or
+   driver holds it. Tokens counted more than RARE times are the frequent class; only these are kept.
+3. Token-combination prefixes. Tokens are ordered rare ones first, then by hash. A set of n tokens can have at most e
+   that a linked set lacks. Each of its rare tokens is a signature, up to the first e + 1. Where it has fewer, the prefix
+   is extended into the frequent tokens. These are split by hash into classes, and every combination of K = 2 tokens of
+   one class is a signature. p tokens of a class cover p - K + 1 of the e + 1: after taking away e tokens of the prefix,
+   some rare token or K tokens of some class are left, so linked sets share a signature. The number of classes goes by
+   the size of the smaller set, so a set makes combinations for each class of sizes that a linked smaller set can have.
+4. The sets with a common signature stand in cells, cut where the next size is too far from the one before to be linked; a
+   cell has the name of the least of its sets. Any linked pair shares a cell, and is looked at in the first that it shares. In a cell blocks of bounded size are held against each other: sizes and sketches
+   pick the members that may have a link, and of these whole sets are counted exactly. A block gives sums of links and
+   one edge a member to join its components; no step emits all pairs of a group.
+5. The edges are joined into components.
 """
 
 from __future__ import annotations
@@ -35,35 +31,39 @@ from inkveil.llm.components import components
 from inkveil.llm.shingles import mixed, shingle_sets
 from inkveil.session import Scratch, ship
 
-#: Counters of shingle frequencies (a fixed 4 MB in the driver and in each task), in so many pieces for adding up.
-COUNTERS, PIECES = 1 << 21, 16
-#: Shingles counted more often than the mean counter by so many standard deviations and RARE are the frequent class.
-RARE, DEVIATIONS = 48, 6
-#: Members of a representative's cell that one group compares.
+#: Tokens counted more often than this are the frequent class.
+RARE = 64
+#: Tokens of a combination, and how many tokens of a prefix a class gets on average.
+K, PER_CLASS = 2, 2.0
+#: Bits of a token that are counted, tokens counted at a time, and frequent tokens up to which they are broadcast (8 bytes each).
+COUNTED, BUFFER, BROADCAST_TOKENS = 40, 1 << 21, 4 << 20
+#: Members of a cell that one group compares.
 BLOCK = 1024
-#: Shingles of one side of a block whose links are all counted.
+#: Tokens of one side of a block whose links are counted.
 SIDE = 1 << 22
 #: Bits of the filter that picks the texts to be counted exactly (a fixed 2 MB).
-FILTER_BITS = 1 << 24
+FILTER_BITS, PIECES = 1 << 24, 16
+_SHIFT = np.uint64(64 - COUNTED)
 
 
-def prefix_length(n: int, top: int, bottom: int) -> int:
-    """How many of a set's n shingles a linked set must share one of: overlap is at least n * top / bottom."""
-    return n - -(-n * top // bottom) + 1
+def least_shared(n: int, top: int, bottom: int) -> int:
+    """How many of a set's n tokens any linked set shares at least."""
+    return -(-n * top // bottom)
 
 
-def most_apart(n: int, top: int, bottom: int) -> int:
-    """How many shingles a set of n and a linked one that is not smaller can have apart."""
-    other = n * bottom // top
-    return (n + other) * (bottom - top) // (bottom + top)
-
-
-def size_classes(upto: int) -> np.ndarray:
-    """The smallest size of each class, each about a tenth above the one before."""
+def size_classes(upto: int, top: int, bottom: int) -> list[int]:
+    """The smallest size of each class; a set and a linked one are in the same class or in neighbouring ones, but for small sizes."""
     at = [1]
     while at[-1] <= upto:
-        at.append(max(at[-1] + 1, int(at[-1] * 1.1)))
-    return np.array(at)
+        at.append(max(at[-1] + 1, at[-1] * bottom // top))
+    return at
+
+
+def token_classes(size: int, top: int, bottom: int) -> int:
+    """Classes of frequent tokens for sets of about this size: so many that few combinations cover a prefix, and no more than any set covers."""
+    apart = size - least_shared(size, top, bottom)
+    # with PER_CLASS tokens a class, one in PER_CLASS - 1 + exp(-PER_CLASS) of them counts for the prefix
+    return max(1, min(int((apart + 1) / (PER_CLASS - 1 + np.exp(-PER_CLASS))), size - apart - 1))
 
 
 def set_id(found: np.ndarray) -> int:
@@ -74,11 +74,8 @@ def set_id(found: np.ndarray) -> int:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """One parity bit for each residue of the hashes; four to eight times as many bits as the set has shingles.
-
-    So a pair that is only nearly linked seldom passes: few of its differences fall on the same bit.
-    """
-    bits = max(64, 4 << int(len(found)).bit_length())
+    """One parity bit for each residue of the hashes; one to two times as many bits as the set has tokens, 64 at least."""
+    bits = max(64, 1 << int(len(found)).bit_length())
     odd = (np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -91,119 +88,174 @@ def folded(one: np.ndarray, size: int) -> np.ndarray:
     return one
 
 
-def combinations(found: np.ndarray, classes: np.ndarray, top: int, bottom: int) -> np.ndarray:
-    """Signatures of a set from parts of itself, one kind for each class of sizes that a linked smaller set can have."""
-    n, out = len(found), []
-    least = -(-n * top // bottom)
+def combinations(frequent: np.ndarray, classes: int, seed: int, missing: int) -> np.ndarray:
+    """Signatures of the shortest run of frequent tokens (in order) that covers so much: the pairs within each class."""
     with np.errstate(over="ignore"):
-        for c in range(int(np.searchsorted(classes, least, "right")) - 1, int(np.searchsorted(classes, n, "right"))):
-            apart = most_apart(int(classes[c + 1]) - 1, top, bottom)
-            spare = apart // 16 + 1
-            parts = apart + 1 + spare
-            seed = np.uint64(c * 2 + 1)
-            part = (mixed(found ^ seed * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(parts)).astype(np.int64)
-            content = np.zeros(parts, np.uint64)
-            np.add.at(content, part, mixed(found + seed))
-            filled = np.bincount(part, minlength=parts) > 0
-            # a linked pair has spare + 1 equal parts at least; with more empty ones they may all be empty
-            if parts - filled.sum() <= spare:
-                content, which = content[filled], np.flatnonzero(filled)
-            else:
-                which = np.arange(parts)
-            out.append(mixed(content * np.uint64(0x9E3779B97F4A7C15) + which.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + seed))
+        salt = mixed(np.array([seed], np.uint64))[0]
+        own = (mixed(frequent ^ salt) % np.uint64(classes)).astype(np.int64)
+        fresh = np.zeros(len(own), bool)
+        fresh[np.unique(own, return_index=True)[1]] = True
+        length = int(np.searchsorted(np.cumsum(~fresh), missing)) + 1
+        order = np.argsort(own[:length], kind="stable")
+        tokens, own = frequent[:length][order], own[:length][order]
+        out = []
+        for d in range(1, length):
+            same = np.flatnonzero(own[d:] == own[:-d])
+            if not len(same):
+                break
+            out.append(mixed(mixed(tokens[same] + salt) * np.uint64(0x9E3779B97F4A7C15) + tokens[same + d]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def signatures(found: np.ndarray, often: np.ndarray, sizes: list[int], top: int, bottom: int) -> np.ndarray:
+    """The signatures of a set (sorted tokens, and whether each is frequent)."""
+    n = len(found)
+    apart = n - least_shared(n, top, bottom)
+    rare = found[~often][: apart + 1]
+    if len(rare) > apart:
+        return rare
+    least, frequent, out = n - apart, found[often], [rare]
+    for c, size in enumerate(sizes):
+        if size > n:
+            break
+        if sizes[c + 1] > least:
+            out.append(combinations(frequent, token_classes(size, top, bottom), c, apart + 1 - len(rare)))
     return np.concatenate(out)
 
 
-def signatures(found: np.ndarray, counts: np.ndarray, frequent: float, classes: np.ndarray, top: int, bottom: int) -> np.ndarray:
-    """The signatures of a set: rare shingles of its prefix, and combinations if the prefix holds frequent ones."""
-    often = counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    rare = found[often <= frequent]
-    length = prefix_length(len(found), top, bottom)
-    if len(rare) >= length:
-        return rare[np.lexsort((rare, often[often <= frequent]))[:length]]
-    return np.concatenate([rare, combinations(found, classes, top, bottom)])
+def _record(fields: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+
+
+_FIRST = pa.schema([("piece", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("data", pa.binary())])
+_FIRST_SQL = "piece int, kind int, id long, n int, set long, data binary"
+
 
+def _begin(piece: int, pieces: int) -> np.uint64:
+    """The least number of a piece; pieces are a power of two, 256 at least, so that a piece spans four bytes."""
+    return np.uint64((int(piece) << COUNTED) // pieces)
 
-def _batches(fields: pa.Schema, words: int, each, last=None):
-    """A mapInArrow function: each gives columns for a batch of (id, text), last for the end of a partition."""
+
+def _first_pass(words: int, pieces: int):
+    """A mapInArrow function over (id, text): a row for each text (kind 0), and tokens to be counted (kind 1), dealt to pieces by their upper bits.
+
+    Tokens go as the gaps between sorted numbers, counted from where their piece begins, byte by byte (the upper ones are
+    mostly zero). Of those that repeat in one buffer so many are sent that the sum is above RARE if it should be.
+    """
+    edges = np.array([_begin(k, pieces) for k in range(1, pieces)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, row = [], 0, 0
+
+        def flushed():
+            tokens = np.sort(np.concatenate(held) >> _SHIFT)
+            tokens = tokens[np.r_[np.ones(min(RARE + 1, len(tokens)), bool), tokens[RARE + 1 :] != tokens[: -RARE - 1]]]
+            at = np.r_[0, np.searchsorted(tokens, edges), len(tokens)]
+            full = np.flatnonzero(np.diff(at))
+            data = [np.diff(tokens[a:b], prepend=_begin(k, pieces)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for k, a, b in zip(full, at[full], at[full + 1], strict=True)]
+            return _record(_FIRST, [full, [1] * len(full), [0] * len(full), np.diff(at)[full], [0] * len(full), data])
+
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                got = each(part.column(0), shingle_sets(part.column(1), words))
-                if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, fields, strict=True)], schema=fields)
-        if last is not None:
-            for got in last():
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, fields, strict=True)], schema=fields)
+                sets = shingle_sets(part.column(1), words)
+                ids = [set_id(x) if len(x) else None for x in sets]
+                yield _record(_FIRST, [np.arange(row, row + len(ids)) % pieces, [0] * len(ids), part.column(0), [len(x) for x in sets], ids, [sketch(x) if len(x) else None for x in sets]])
+                row += len(ids)
+                fresh = {s: x for s, x in zip(ids, sets, strict=True) if len(x)}
+                held += fresh.values()
+                size += sum(map(len, fresh.values()))
+                if size >= BUFFER:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
 
     return run
 
 
-def _added(rows: DataFrame) -> np.ndarray:
-    """The sum of arrays that came in pieces (piece int, data binary of uint32): of a fixed size, whatever the input."""
+def _frequent(pieces: int):
+    """A mapInArrow function over rows of the first pass, sorted by (piece, kind): those of texts as they are, and for each piece its frequent tokens (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = None, []
+
+        def counted():
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            often = tokens[n > RARE] + _begin(piece, pieces)
+            return _record(_FIRST, [[piece], [1], [0], [len(often)], [0], [often.astype("<u8").tobytes()]])
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(data.as_buffer(), np.uint16).astype(np.uint32)
-                total[piece] = total[piece] + got if piece in total else got
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "data"])
+            kinds = np.asarray(batch.column(1))
+            if (kinds == 0).any():
+                yield batch.filter(pa.array(kinds == 0))
+            for at in np.flatnonzero(kinds).tolist():
+                if held and batch.column(0)[at].as_py() != piece:
+                    yield counted()
+                    held = []
+                piece = batch.column(0)[at].as_py()
+                gaps = np.frombuffer(batch.column(5)[at].as_buffer(), np.uint8).reshape(4, -1).T
+                held.append(np.ascontiguousarray(gaps).view("<u4").ravel().cumsum(dtype=np.uint64))
+        if held:
+            yield counted()
 
-    sums = rows.repartition(PIECES, "piece").mapInArrow(add, "piece int, data binary").collect()
-    out = np.zeros(COUNTERS, np.uint32)
-    step = COUNTERS // PIECES
-    for r in sums:
-        out[r["piece"] * step : (r["piece"] + 1) * step] += np.frombuffer(r["data"], np.uint32)
-    return out
+    return run
 
 
-def _first_pass(words: int):
-    """Rows of sets (kind 0) and of this partition's counters (kind 1)."""
-    fields = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("data", pa.binary())])
+def _signed(words: int, top: int, bottom: int, largest: int, often_of):
+    """A mapInArrow function giving (signature, set, n); often_of tells for a batch's sets which of their tokens are frequent."""
+    fields = pa.schema([("signature", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
+    sizes = size_classes(largest, top, bottom)
 
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                known, n = {}, {}
+                sets = shingle_sets(part.column(0), words)
+                for found, often in zip(sets, often_of(sets, part), strict=True):
+                    if len(found) and (s := set_id(found)) not in known:  # copies within the batch say the same
+                        known[s], n[s] = signatures(found, often, sizes, top, bottom), len(found)
+                if known:
+                    sigs = list(known.values())
+                    each = [len(x) for x in sigs]
+                    yield _record(fields, [np.concatenate(sigs).view(np.int64), np.repeat(np.fromiter(known, np.int64, len(known)), each), np.repeat(np.fromiter(n.values(), np.int32, len(n)), each)])
 
-        def each(ids, sets):
-            full = [x for x in sets if len(x)]
-            if full:
-                np.add.at(counts, (np.concatenate(full) & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-            return [0] * len(sets), ids, [len(x) for x in sets], [set_id(x) if len(x) else None for x in sets], [sketch(x) if len(x) else None for x in sets]
+    return run
 
-        def last():
-            step = COUNTERS // PIECES
-            held = np.minimum(counts, 65535).astype(np.uint16)
-            for i in range(PIECES):
-                yield [1], [i], [0], [0], [held[i * step : (i + 1) * step].tobytes()]
 
-        yield from _batches(fields, words, each, last)(batches)
+def _in_sorted(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
+    """For each set which of its tokens are among the sorted frequent ones."""
+    if not len(frequent) or not sum(map(len, sets)):
+        return [np.zeros(len(x), bool) for x in sets]
+    tokens = np.concatenate(sets) >> _SHIFT
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    return np.split(frequent[at] == tokens, np.cumsum([len(x) for x in sets])[:-1])
 
-    return run, "kind int, id long, n int, set long, data binary"
 
+def _tokens(words: int):
+    """A mapInArrow function over (id, text): (token, set) with the counted bits of each token, for tables of frequent tokens that aren't broadcast."""
+    fields = pa.schema([("token", pa.int64()), ("set", pa.int64())])
 
-def _second_pass(words: int, top: int, bottom: int, counts, frequent: float, largest: int):
-    fields = pa.schema([("signature", pa.int64()), ("set", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                sets = {set_id(x): x for x in shingle_sets(batch.slice(i, 256).column(1), words) if len(x)}
+                if sets:
+                    yield _record(fields, [(np.concatenate(list(sets.values())) >> _SHIFT).astype(np.int64), np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in sets.values()])])
 
-    def run(batches):
-        often, classes = counts.value, size_classes(largest * bottom // top + 2)
+    return run
 
-        def each(ids, sets):
-            known, sigs = {}, []
-            for found in sets:
-                if len(found) and (s := set_id(found)) not in known:  # copies within the batch say the same
-                    known[s] = signatures(found, often, frequent, classes, top, bottom)
-            if not known:
-                return None
-            sigs = list(known.values())
-            return np.concatenate(sigs).view(np.int64), np.repeat(np.fromiter(known, np.int64, len(known)), [len(x) for x in sigs])
 
-        yield from _batches(fields, words, each)(batches)
+def _named(words: int):
+    """A mapInArrow function over (id, text): (set, text)."""
+    fields = pa.schema([("set", pa.int64()), ("text", pa.string())])
 
-    return run, "signature long, set long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _record(fields, [[set_id(x) if len(x) else None for x in shingle_sets(batch.column(1), words)], batch.column(1)])
+
+    return run
 
 
 def _places(ids: np.ndarray) -> list[np.ndarray]:
@@ -211,8 +263,8 @@ def _places(ids: np.ndarray) -> list[np.ndarray]:
     return [(h & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
 
 
-def _wanted(sets: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the column set."""
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over a column of numbers."""
     step = FILTER_BITS // 8 // PIECES
 
     def fill(batches):
@@ -234,13 +286,13 @@ def _wanted(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "data"])
 
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in sets.select("set").mapInArrow(fill, "piece int, data binary").repartition(PIECES, "piece").mapInArrow(join, "piece int, data binary").collect():
+    for r in ids.mapInArrow(fill, "piece int, data binary").repartition(PIECES, "piece").mapInArrow(join, "piece int, data binary").collect():
         out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
     return out
 
 
 def _texts(words: int, wanted):
-    """(set, text) of those rows whose keys the filter lets through, and of rows without a key."""
+    """A mapInArrow function over (id, text): (set, text) of those rows whose ids the filter lets through, and of rows without an id."""
     fields = pa.schema([("set", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,93 +305,7 @@ def _texts(words: int, wanted):
             kept = batch.filter(pa.array(passes))
             ids = [set_id(x) if len(x) else None for x in shingle_sets(kept.column(1), words)]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kept.column(1)], schema=fields)
-
-    return run
-
-
-def _counted(words: int, top: int, bottom: int):
-    """A mapInArrow function over (cell, salt, is_member, set, text), sorted: the members that are linked with the cell's centre."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, centre = None, None
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part, a, b = batch.slice(i, 64), [], []
-                for c, member, found, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(4), words), part.column(3).to_pylist(), strict=True):
-                    if not member:
-                        cell, centre = c, found
-                    elif c == cell:
-                        both = len(np.intersect1d(centre, found, assume_unique=True))
-                        if bottom * both >= top * (len(centre) + len(found) - both):
-                            a.append(c)
-                            b.append(s)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _passes(top: int, bottom: int):
-    """A mapInArrow function over (a, b, n_a, n_b, data_a, data_b): the pairs that sizes and sketches let pass."""
-
-    def run(batches):
-        for batch in batches:
-            n = [np.asarray(batch.column(i)) for i in (2, 3)]
-            good = np.minimum(*n) * bottom >= np.maximum(*n) * top
-            limit = (n[0].astype(np.int64) + n[1]) * (bottom - top) // (bottom + top)
-            one, two = batch.column(4), batch.column(5)
-            for i in np.flatnonzero(good).tolist():
-                x, y = np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64)
-                size = min(len(x), len(y))
-                good[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= limit[i]
-            keep = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], names=["a", "b"])
-
-    return run
-
-
-def _cells(top: int, bottom: int):
-    """A mapInArrow function over members of cells, sorted by (cell, i, j): pairs not yet connected that may be linked.
-
-    A row: cell, i, j, side (block of the member), set, n, linked (with the representative), data (sketch).
-    """
-
-    def pairs(rows: dict[str, list]) -> tuple[list, list]:
-        ids, n, linked, side = (np.array(rows[k]) for k in ("set", "n", "linked", "side"))
-        width = min(len(x) for x in rows["data"]) // 8
-        bits = np.stack([folded(np.frombuffer(x, np.uint64), width) for x in rows["data"]])
-        same = rows["i"][0] == rows["j"][0]
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == rows["i"][0])
-        right = np.arange(len(ids)) if same else np.flatnonzero(side == rows["j"][0])
-        a, b = [], []
-        for i in left.tolist():
-            near = right[right > i] if same else right
-            near = near[~(linked[i] & linked[near])]
-            near = near[np.minimum(n[near], n[i]) * bottom >= np.maximum(n[near], n[i]) * top]
-            apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
-            near = near[apart <= (n[near] + n[i]) * (bottom - top) // (bottom + top)]
-            a += [int(ids[i])] * len(near)
-            b += ids[near].tolist()
-        return a, b
-
-    def run(batches):
-        key, rows = None, None
-
-        def flush():
-            if rows is not None and len(rows["set"]) > 1:
-                a, b = pairs(rows)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if r[:3] != key:
-                    yield from flush()
-                    key, rows = r[:3], {k: [] for k in ("i", "j", "side", "set", "n", "linked", "data")}
-                for k, v in zip(rows, r[1:], strict=True):
-                    rows[k].append(v)
-        yield from flush()
+                yield _record(fields, [ids, kept.column(1)])
 
     return run
 
@@ -371,25 +337,39 @@ def _sides(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hopeful(top: int, bottom: int):
-    """A mapInArrow function over (cell, i, j, side, set, n, data), sorted: (cell, set) that sizes and sketches let have a link there."""
+    """A mapInArrow function over (cell, i, j, side, set, n, cells, data), sorted: (cell, set) that sizes and sketches let have a link there.
+
+    cells are all cells of the set; a pair that shares an earlier one is looked at there.
+    """
+    fields = pa.schema([("cell", pa.int64()), ("set", pa.int64())])
 
     def run(batches):
-        for rows in _by_group(batches, ("cell", "i", "j", "side", "set", "n", "data")):
+        for rows in _by_group(batches, ("cell", "i", "j", "side", "set", "n", "cells", "data")):
             n = np.array(rows["n"], np.int64)
-            width = min(len(x) for x in rows["data"]) // 8
-            bits = np.stack([folded(np.frombuffer(x, np.uint64), width) for x in rows["data"]])
             left, right = _sides(rows)
+            alone = rows["i"][0] == rows["j"][0]
+            right = right[np.argsort(n[right], kind="stable")]
+            size = n[right]
+            sketches = [np.frombuffer(x, np.uint64) for x in rows["data"]]
+            earlier = _Overlap([np.array([c for c in x if c < rows["cell"][0]], np.int64) for x in rows["cells"]])
+            stacks: dict[int, np.ndarray] = {}  # sketches of the right side, folded to each width that occurs
             good = np.zeros(len(n), bool)
             for i in left.tolist():
-                near = right[right != i]
-                near = near[np.minimum(n[near], n[i]) * bottom >= np.maximum(n[near], n[i]) * top]
-                apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+                a, b = np.searchsorted(size, [least_shared(int(n[i]), top, bottom), n[i] * bottom // top + 1])
+                if b - a <= alone:
+                    continue
+                width = min(len(sketches[i]), len(sketches[right[a]]))
+                if width not in stacks:
+                    stacks[width] = np.stack([folded(sketches[k], width) if len(sketches[k]) >= width else np.zeros(width, np.uint64) for k in right])
+                here = a + np.flatnonzero((earlier.shared(i)[right[a:b]] == 0) & (right[a:b] != i))
+                near = right[here]
+                apart = np.bitwise_count(stacks[width][here] ^ folded(sketches[i], width)).sum(1, dtype=np.int64)
                 near = near[apart <= (n[near] + n[i]) * (bottom - top) // (bottom + top)]
                 good[near] = True
                 good[i] |= len(near) > 0
             if good.any():
                 found = np.array(rows["set"], np.int64)[good]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows["cell"][0], np.int64)), pa.array(found)], names=["cell", "set"])
+                yield _record(fields, [np.full(len(found), rows["cell"][0], np.int64), found])
 
     return run
 
@@ -399,9 +379,11 @@ class _Overlap:
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
         sizes = [len(x) for x in arrays]
-        self.owner = np.repeat(np.arange(len(arrays)), sizes)
-        values, self.place = np.unique(np.concatenate(arrays), return_inverse=True)
-        self.ends, self.mask = np.cumsum([0, *sizes]), np.zeros(len(values), bool)
+        owner = np.repeat(np.arange(len(arrays)), sizes)
+        values, place, n = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+        several = (n > 1)[place]  # what one array has alone is shared with none
+        self.owner, self.place = owner[several], place[several]
+        self.ends, self.mask = np.searchsorted(self.owner, np.arange(len(arrays) + 1)), np.zeros(len(values), bool)
 
     def shared(self, i: int) -> np.ndarray:
         mine = self.place[self.ends[i] : self.ends[i + 1]]
@@ -411,42 +393,54 @@ class _Overlap:
         return out
 
 
-def _all_links(words: int, top: int, bottom: int):
-    """A mapInArrow function over (cell, i, j, side, set, copies, cells, text), sorted: (set, links), links in copies of the partners.
+def _counted(words: int, top: int, bottom: int):
+    """A mapInArrow function over (cell, i, j, side, set, copies, cells, text), sorted: (set, links, other).
 
-    cells are all cells of the set; a pair that shares an earlier one isn't counted here.
+    links counts the partners' copies; other is a member that the set is connected with in this group. cells are all cells of the
+    set; a pair that shares an earlier one isn't counted here, as it is there.
     """
+    fields = pa.schema([("set", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def run(batches):
         for rows in _by_group(batches, ("cell", "i", "j", "side", "set", "copies", "cells", "text"), lambda texts: shingle_sets(texts, words)):
             once = sorted({s: k for k, s in enumerate(rows["set"])}.values())  # rows that share a key and a text
             rows = {k: [v[x] for x in once] for k, v in rows.items()}
-            n, copies = np.array([len(x) for x in rows["text"]], np.int64), np.array(rows["copies"], np.int64)
+            n, copies, sets = np.array([len(x) for x in rows["text"]], np.int64), np.array(rows["copies"], np.int64), np.array(rows["set"], np.int64)
             both, earlier = _Overlap(rows["text"]), _Overlap([np.array([c for c in x if c < rows["cell"][0]], np.int64) for x in rows["cells"]])
             left, right = _sides(rows)
-            links = np.zeros(len(n), np.int64)
+            links, root = np.zeros(len(n), np.int64), np.arange(len(n))
             for i in left.tolist():
-                shared = both.shared(i)
-                linked = right[(bottom * shared >= top * (n + n[i] - shared))[right] & (earlier.shared(i) == 0)[right] & (right != i)]
-                links[i] += copies[linked].sum()
-                if left is not right:
-                    links[linked] += copies[i]
+                near = right[(earlier.shared(i)[right] == 0) & (right != i)]
+                if not len(near):
+                    continue
+                shared = both.shared(i)[near]
+                linked = near[bottom * shared >= top * (n[near] + n[i] - shared)]
+                if len(linked):
+                    links[i] += copies[linked].sum()
+                    if left is not right:
+                        links[linked] += copies[i]
+                    joined = np.unique(np.r_[root[i], root[linked]])
+                    if len(joined) > 1:
+                        root[np.isin(root, joined)] = joined[0]
             some = links > 0
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows["set"], np.int64)[some]), pa.array(links[some])], names=["set", "links"])
+                other = np.arange(len(n))
+                for members in np.split(np.argsort(root, kind="stable"), np.flatnonzero(np.diff(np.sort(root))) + 1):
+                    other[members] = members[np.maximum(np.arange(len(members)) - 1, 0) // 16]  # a tree in which no member has many neighbours
+                yield _record(fields, [sets[some], links[some], sets[other[some]]])
 
     return run
 
 
-def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, top: int = 80, bottom: int = 100, block: int = BLOCK, all_links: bool = False) -> DataFrame:
-    """One row per row of df: key, n_shingles, component_id, verified_links, and n_links if all_links.
+def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, top: int = 80, bottom: int = 100, block: int = BLOCK, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """One row per row of df: key, n_shingles, component_id, n_links.
 
     Texts are linked when bottom * (shared shingles) >= top * (shingles of either). component_id is the smallest key
-    that can be reached by links, itself included; verified_links counts the links to different sets that were verified
-    (enough to join every component, not all of them) and rows with an equal set. n_links counts all other rows that
-    the row is linked with, rows with an equal set included. key must be an integer; rows that
+    that can be reached by links, itself included; n_links counts all other rows that the row is linked with, rows with an
+    equal set included. key must be an integer; rows that
     share a key stay rows of their own. A row with a null key has component_id null unless another row's key is
-    reached. Null, empty and blank texts have no shingles and their own key as component. An empty table gives an
+    reached. Null, empty and blank texts have no shingles and their own key as component. Texts are read whole, however long.
+    Columns of df other than text and key are left out, so none can clash. An empty table gives an
     empty result.
     """
     spark = df.sparkSession
@@ -454,92 +448,76 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     scratch = Scratch(spark, "jaccard-join")
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
-    run, fields = _first_pass(words)
-    first = scratch.save(docs.mapInArrow(run, fields), "first")
-    counts = _added(first.filter("kind = 1").select(F.col("id").cast("int").alias("piece"), "data"))
-    mean = float(counts.mean())
-    frequent = mean + DEVIATIONS * mean**0.5 + RARE
-    rows = first.filter("kind = 0")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    pieces = max(256, 1 << (4 * partitions - 1).bit_length())
+    dealt = docs.mapInArrow(_first_pass(words, pieces), _FIRST_SQL).repartition(partitions, "piece").sortWithinPartitions("piece", "kind")
+    first = scratch.save(dealt.mapInArrow(_frequent(pieces), _FIRST_SQL), "first")
+    rows, often = first.filter("kind = 0"), first.filter("kind = 1 and n > 0").select("n", "data")
     per_set = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("copies"))
     per_set = scratch.save(per_set, "sets")
     largest = per_set.agg(F.max("n")).first()[0] or 1
 
-    run, fields = _second_pass(words, top, bottom, spark.sparkContext.broadcast(counts), frequent, largest)
-    signed = scratch.save(docs.select("id", "text").mapInArrow(run, fields), "signatures")
-    shared = signed.groupBy("signature").agg(F.count("*").alias("met"), F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("signature", "met")
-    buckets = scratch.save(signed.join(shared, "signature").groupBy("signature", "set").agg(F.first("met").alias("met")), "buckets")
-    scratch.drop("signatures")
-    fame = buckets.groupBy("set").agg(F.sum("met").alias("fame"))
-    best = buckets.join(fame, "set").groupBy("signature").agg(F.max(F.struct("fame", "set")).alias("best"))
-    met = buckets.join(best.select("signature", F.col("best.set").alias("a")), "signature").filter("a != set").select("a", F.col("set").alias("b")).distinct()
-    met = scratch.save(met, "met")
-
-    info = per_set.select("set", "n", "data")
-    described = met.join(info.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("data").alias("data_a")), "a").join(info.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("data").alias("data_b")), "b")
-    stars = scratch.save(described.select("a", "b", "n_a", "n_b", "data_a", "data_b").mapInArrow(_passes(top, bottom), "a long, b long"), "stars")
-
-    def texts_of(sets: DataFrame) -> DataFrame:
-        """(set, text) of the rows that have these sets, and perhaps of others."""
-        keys = sets.select("set").distinct().join(per_set.select("set", "id"), "set").filter("id is not null").select(F.col("id").alias("set"))
-        run = _texts(words, spark.sparkContext.broadcast(_wanted(keys)))
-        return docs.select("id", "text").mapInArrow(run, "set long, text string")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are linked: whole texts of the sets they name meet at the first of the pair, in groups of bounded size."""
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-        members = pairs.join(salts, "a").select(F.col("b").alias("set"), F.col("a").alias("cell"), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("is_member"))
-        centres = salts.select(F.col("a").alias("set"), F.col("a").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_member"))
-        ends = scratch.save(members.union(centres), f"{name}-ends")
-        met = texts_of(ends).join(ends, "set").select("cell", "salt", "is_member", "set", "text").repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_member")
-        return scratch.save(met.mapInArrow(_counted(words, top, bottom), "a long, b long"), name)
-
-    links = verified(stars, "star-links")
-    # cells: all that met a representative, with whether they are linked with it
-    near = met.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("cell"), F.col("b").alias("set"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    sizes = near.groupBy("cell").agg(F.count("*").alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).filter("size > 1 and loose > 0")
-    placed = near.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("cell", "set", "linked", "side", other.alias("other")).join(info, "set")
-    placed = placed.select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set", "n", "linked", "data")
-    grouped = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    more = grouped.mapInArrow(_cells(top, bottom), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.save(more, "more")
-    if not more.isEmpty():
-        links = links.union(verified(more, "more-links"))
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = scratch.save(links, "links")
-
-    joined = components(found, scratch, "components")
-    joined = joined.join(per_set.select(F.col("set").alias("node"), "id"), "node")
+    if (often.agg(F.sum("n")).first()[0] or 0) <= broadcast_tokens:
+        table = spark.sparkContext.broadcast(np.sort(np.concatenate([np.empty(0, "<u8"), *[np.frombuffer(r["data"], "<u8") for r in often.collect()]])))
+        signed = docs.select("text").mapInArrow(_signed(words, top, bottom, largest, lambda sets, _: _in_sorted(sets, table.value)), "signature long, set long, n int")
+    else:  # too many to broadcast: each set is sent its own frequent tokens
+
+        def unpacked(batches):
+            for batch in batches:
+                for data in batch.column(0):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.as_buffer(), "<i8"))], names=["token"])
+
+        met = docs.mapInArrow(_tokens(words), "token long, set long").join(often.select("data").mapInArrow(unpacked, "token long"), "token")
+        own = met.groupBy("set").agg(F.collect_set("token").alias("tokens"))  # no more than a text has
+        texts = docs.mapInArrow(_named(words), "set long, text string").filter("set is not null").join(own, "set", "left").select("text", "tokens")
+        mine = lambda sets, part: [np.isin(x >> _SHIFT, np.array(t or [], np.uint64)) for x, t in zip(sets, part.column(1).to_pylist(), strict=True)]
+        signed = texts.mapInArrow(_signed(words, top, bottom, largest, mine), "signature long, set long, n int")
+    # a signature's sets by size, cut where neighbours are too far apart to be linked; a cell has the name of the least of its
+    # sets, so that signatures of the same texts mostly agree on it. The windows stream a signature's rows, and spill
+    by_size = "partition by signature order by n, set"
+    begins = F.expr(f"coalesce(lag(n) over ({by_size}) * {bottom}L < n * {top}L, true)")
+    run = F.expr(f"sum(cast(begins as int)) over ({by_size} rows between unbounded preceding and current row)")
+    met = signed.withColumn("begins", begins).withColumn("run", run).withColumn("cell", F.expr("first(set) over (partition by signature, run order by set rows between unbounded preceding and current row)"))
+    met = scratch.save(met.filter("cell <> set").select("cell", "set", "n").distinct(), "met")
+    heads = met.select("cell").distinct().join(per_set.select(F.col("set").alias("cell"), "n"), "cell").select("cell", F.col("cell").alias("set"), "n")
+    member = scratch.save(met.union(heads), "members")
+
+    def blocks(members: DataFrame, *columns: str) -> DataFrame:
+        """Members (cell, set, n) in pairs of blocks."""
+        sizes = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).filter("size > 1")
+        count = F.ceil(F.greatest(F.col("size") / block, F.col("tokens") / SIDE)).cast("int")
+        placed = members.join(sizes.select("cell", count.alias("blocks")), "cell").withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return placed.select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set", *columns)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    def with_cells(members: DataFrame) -> DataFrame:
+        """The cells of each set: no more than it has signatures."""
+        return members.groupBy("set").agg(F.collect_list("cell").alias("cells"))
+
+    described = blocks(member, "n").join(with_cells(member).join(per_set.select("set", "data"), "set"), "set")
+    hopeful = grouped(described.select("cell", "i", "j", "side", "set", "n", "cells", "data")).mapInArrow(_hopeful(top, bottom), "cell long, set long").distinct()
+    hopeful = scratch.save(hopeful, "hopeful")
+    scratch.drop("met", "members")
+    sizes = per_set.select("set", "id", "n", "copies")
+    ends = blocks(hopeful.join(sizes.select("set", "n"), "set").select("cell", "set", "n")).join(with_cells(hopeful).join(sizes.drop("n"), "set"), "set")
+    ends = scratch.save(ends.select("cell", "i", "j", "side", "set", "id", "copies", "cells"), "ends")
+    run = _texts(words, spark.sparkContext.broadcast(_wanted(ends.select("id").filter("id is not null").distinct())))
+    texts = docs.mapInArrow(run, "set long, text string")
+    whole = grouped(ends.drop("id").join(texts, "set").select("cell", "i", "j", "side", "set", "copies", "cells", "text"))
+    found = scratch.save(whole.mapInArrow(_counted(words, top, bottom), "set long, links long, other long"), "links")
+    scratch.drop("ends", "hopeful")
+
+    edges = found.filter("set <> other").select(F.col("set").alias("a"), F.col("other").alias("b")).distinct()
+    joined = components(edges, scratch, "components").join(per_set.select(F.col("set").alias("node"), "id"), "node")
     lowest = joined.groupBy("component").agg(F.min("id").alias("lowest"))
-    degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("linked"))
-    named = joined.join(lowest, "component").join(degree, "node").select("node", "lowest", "linked")
-    if all_links:
-        member = scratch.save(met.select(F.col("a").alias("cell"), F.col("b").alias("set")).union(met.select("a", "a")).distinct(), "members")
-
-        def blocks(members: DataFrame, *columns: str) -> DataFrame:
-            """Members (cell, set, n) in pairs of blocks, sorted; the last of the columns is what a function makes values of."""
-            sizes = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
-            count = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / SIDE)).cast("int")
-            placed = members.join(sizes.select("cell", count.alias("blocks")), "cell").withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks").cast("long")).cast("int"))
-            placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            return placed.select("cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set", *columns)
-
-        def grouped(rows: DataFrame) -> DataFrame:
-            return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-
-        hopeful = grouped(blocks(member.join(info, "set"), "n", "data")).mapInArrow(_hopeful(top, bottom), "cell long, set long").distinct()
-        hopeful = scratch.save(hopeful, "hopeful")
-        cells = hopeful.groupBy("set").agg(F.collect_list("cell").alias("cells"))
-        placed = scratch.save(blocks(hopeful.join(cells, "set").join(per_set.select("set", "n", "copies"), "set"), "copies", "cells"), "counted-ends")
-        whole = grouped(placed.join(texts_of(placed), "set").select("cell", "i", "j", "side", "set", "copies", "cells", "text"))
-        counted = whole.mapInArrow(_all_links(words, top, bottom), "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
-        counted = scratch.save(counted, "counted").withColumnRenamed("set", "counted")
-    labels = per_set.join(named, per_set["set"] == named["node"], "left").select(F.col("set").alias("label"), F.coalesce("lowest", "id").alias("lowest"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("verified_links"))
-    extra = []
-    if all_links:
-        labels = labels.join(per_set.select(F.col("set").alias("label"), "copies"), "label").join(counted, F.col("label") == F.col("counted"), "left")
-        labels = labels.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-        extra = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
-    out = rows.join(labels, rows["set"] == labels["label"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"), F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links"), *extra)
+    named = joined.join(lowest, "component").select("node", "lowest")
+    counted = found.groupBy(F.col("set").alias("counted")).agg(F.sum("links").alias("links"))
+    labels = per_set.join(named, per_set["set"] == named["node"], "left").join(counted, per_set["set"] == counted["counted"], "left")
+    labels = scratch.save(labels.select(F.col("set").alias("label"), F.coalesce("lowest", "id").alias("lowest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("lowest is distinct from id or n_links > 0"), "labels")
+    scratch.keep("first", "labels")
+    slim = rows.select("id", "n", "set")
+    out = slim.join(labels, slim["set"] == labels["label"], "left")
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -157,6 +157,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     wide = int(max([x[-1] for x in shares], default=1))
     cols = ["id", "key", "size", "source_size", "target", "whole", "p", "number", "salt", "group"]
     level, rows = 1, scratch.save(_round(rows.select(*cols), 1, False), "level1")
+    scratch.drop("sizes")
     done = []
     while True:
         fractional = (F.col("p") > 0) & (F.col("p") < 1)

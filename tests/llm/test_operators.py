@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from inkveil.llm import html_wrapper as hw
+from inkveil.llm import jaccard_join as jj
 from inkveil.llm import secrets, token_records, toxicity
 from inkveil.llm.audio_columns import audio_columns, feature_digest, from_wav, padded, to_wav
 from inkveil.llm.chat_format import rotate_perspectives
@@ -21,6 +23,22 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = [None, "", " \n", "one", "one two three four five six seven", "One two three four five six seven", "é日 text \U0001f600", "x" * 9000, "w " * 4000, "one"]
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def mixed_texts(n, seed=3):
+    """Texts of letters of all scripts, digits, marks and all sorts of white space."""
+    rng = np.random.default_rng(seed)
+    ranges = [(0x20, 0x7F), (0x61, 0x7B), (0xA0, 0x250), (0x300, 0x340), (0x370, 0x600), (0x900, 0xA00), (0x3040, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0x1F600, 0x1F640)]
+    blanks = [" ", " ", " ", " ", "\n", "  ", "\t", "\r\n", "\u00a0", "\u3000"]
+    out = []
+    for _ in range(n):
+        words = []
+        for _ in range(rng.integers(1, 12)):
+            a, b = ranges[rng.integers(len(ranges))]
+            words.append("".join(map(chr, rng.integers(a, b, rng.integers(1, 9)))) + blanks[rng.integers(len(blanks))])
+        out.append("".join(words))
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -97,9 +115,14 @@ def test_pieces_equal_the_library(docs, nothing):
     from sentencepiece import SentencePieceProcessor
 
     sp, own = SentencePieceProcessor(model_file=MODEL), pieces(MODEL)
-    texts = [t or "" for t in TEXTS] + ["a  b   c\t\n", "1234,56", " " * 40 + "the", "naïve Ünïcode\0"]
-    assert [x.tolist() for x in own.encode(texts)] == sp.encode(texts)
-    assert [own.decode(x) for x in own.encode(texts)] == texts
+    texts = [t or "" for t in TEXTS] + ["a  b   c\t\n", "1234,56", " " * 40 + "the", "naïve Ünïcode\0", "\n", "a\nb\n\nc", "a \nb \n c", " a", "a "]
+    texts += mixed_texts(1000)
+    ids, edges = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == sp.encode(texts)
+    assert own.decode(ids, edges) == texts
+    for part in (texts[:1], [], ["", ""], ["x"]):
+        ids, edges = own.encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == sp.encode(part)
     assert all(r.round_trip for r in piece_digests(docs, lambda: MODEL).collect())
     out = encode_texts(docs.withColumnRenamed("lang", "piece_ids"), lambda: MODEL, decoded="back").collect()
     assert all((r.piece_ids is None) == (r.text is None) and r.back == r.text for r in out)
@@ -188,7 +211,12 @@ def test_token_records(docs, nothing):
 
     t = Tokenizer.from_file(WORDS)
     texts = [x or "" for x in TEXTS] + ["it's <|endoftext|> don't\x1cx\r\ny", "ＡＢ ﬁ İ ẞ á ‿ 12ab!?"]
-    assert [x.tolist() for x in token_records.Encoder(WORDS).encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts += mixed_texts(1000)
+    for path, cuts in ((WORDS, True), (BYTES, False)):
+        own, library = token_records.Encoder(path), Tokenizer.from_file(path)
+        assert own.cuts == cuts
+        ids, edges = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     out = sorted(token_records.token_records(docs, lambda: WORDS, shards=3).collect(), key=lambda r: r.start)
     at = 0
     for r, (key, text) in zip(out, sorted(((d.doc_id, d.text or "") for d in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
@@ -239,26 +267,61 @@ def test_jaccard_join(spark, nothing, k, top):
     assert jaccard_components(nothing).count() == 0
 
 
+def near_copies(rng, base, n, edits, names="z"):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.integers(0, len(w), rng.integers(1, edits)):
+            w[at] = f"{names}{rng.integers(0, 50)}"
+        out.append(" ".join(w))
+    return out
+
+
+def brute_links(rows, k, top, bottom):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    return [(key, sum(1 for j, b in enumerate(sets) if j != i and a and bottom * len(a & b) >= top * len(a | b))) for i, ((key, _), a) in enumerate(zip(rows, sets, strict=True))]
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_jaccard_join_counts_all_links(spark, block):
     rng = np.random.default_rng(5)
-    base = [f"w{x}" for x in rng.integers(0, 400, 90)]
-    texts = []
-    for _ in range(40):
-        w = list(base)
-        for at in rng.integers(0, len(w), rng.integers(1, 4)):
-            w[at] = f"z{rng.integers(0, 50)}"
-        texts.append(" ".join(w))
+    texts = near_copies(rng, [f"w{x}" for x in rng.integers(0, 400, 90)], 40, 4)
     texts += texts[:5] + [texts[0], None, "", "alone " * 9]
     rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[3])]
-    sets = []
-    for _, t in rows:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()))
-    want = [(k, sum(1 for j, b in enumerate(sets) if j != i and a and 10 * len(a & b) >= 8 * len(a | b))) for i, ((k, _), a) in enumerate(zip(rows, sets, strict=True))]
-    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=3, top=80, block=block, all_links=True).collect()
-    assert sorted(((r.doc_id, r.n_links) for r in out), key=str) == sorted(want, key=str)
-    assert sum(n for _, n in want) > sum(r.verified_links for r in out)
+    want = brute_links(rows, 3, 80, 100)
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=3, top=80, block=block).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in out), key=str) == sorted(want, key=str) and sum(n for _, n in want) > 100
+
+
+@pytest.mark.parametrize(("k", "top", "broadcast"), [(3, 90, 1 << 22), (5, 80, 1 << 22), (3, 80, -1)])
+def test_jaccard_join_of_frequent_tokens(spark, k, top, broadcast):
+    """Many near copies, so that all their tokens are frequent and only combinations are signatures; and texts of two common passages."""
+    rng = np.random.default_rng(k + top)
+    texts = []
+    for length in (3, 12, 40, 150):
+        texts += near_copies(rng, [f"b{length}-{x}" for x in range(length)], 110, max(2, length // 8))
+    passages = [" ".join(f"p{p}-{x}" for x in range(30)) for p in range(3)]
+    texts += [f"{passages[i % 3]} {passages[(i + 1) % 3]} own{i}" for i in range(120)]
+    rows = list(enumerate(texts))
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=k, top=top, broadcast_tokens=broadcast).collect()
+    assert sorted((r.doc_id, r.n_links) for r in out) == sorted(brute_links(rows, k, top, 100))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(brute_components(rows, k, top, 100))
+
+
+def test_frequent_tokens_make_combinations_only():
+    found = np.sort(np.random.default_rng(3).integers(0, 2**63, 300).astype(np.uint64))
+    sizes = jj.size_classes(400, 90, 100)
+    assert len(jj.signatures(found, np.zeros(300, bool), sizes, 90, 100)) == 31
+    often = jj.signatures(found, np.ones(300, bool), sizes, 90, 100)
+    assert not np.isin(often, found).any() and 31 <= len(often) <= 300
+    # any 30 tokens may be missing: some combination is left
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        other = np.delete(found, rng.choice(300, 30, replace=False))
+        assert np.isin(jj.signatures(other, np.ones(270, bool), sizes, 90, 100), often).any()
 
 
 def test_exact_dedup(docs, nothing):
