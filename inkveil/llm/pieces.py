@@ -19,17 +19,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkveil.llm.words import WordIds, gathered, run_sums, text_slices
 from inkveil.session import ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a worker remembers before it starts anew, and the longest word that is encoded in a batch.
-REMEMBERED, LONGEST = 400_000, 40
+#: The longest word that advances in a batch; longer ones go through the same pass alone.
+LONGEST = 40
+#: Pairs of pieces whose neighbourhood a worker remembers before it starts anew, and how many of them it holds apart as met lately.
+PAIRS, LATE = 4_000_000, 4096
 
 
 class Pieces:
@@ -46,12 +50,15 @@ class Pieces:
         own = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {names[i]: i for i in own}
         self.names, self.unknown = names, n  # n stands for one character without a piece
-        self.spelled = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        spelled = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.spelled_pool = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_lengths = np.array([len(x) for x in spelled], np.int64)
+        self.spelled_starts = np.cumsum(self.spelled_lengths) - self.spelled_lengths
         self.widest = max(map(len, self.ids), default=1)
         self.keys, self.key_ids, self.letters = self._keys(own)
         low = min((self.score[i] for i in own), default=0.0) - 1
         self.rank = {names[i]: -1.0 - (self.score[i] - low) for i in own}  # the best score is the smallest number
-        self.pairs: dict[int, bool] = {}
+        self._forget()
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         line = "" if "\n" in inner else "\\n"
         glued = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -59,7 +66,9 @@ class Pieces:
         self.cut = re.compile("(?s).+" if glued else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
         #: What the library sets before a text that is not empty.
         self.before = SPACE if names[next(iter(sp.encode("a")), 0)].startswith(SPACE) else ""
-        self.known: dict[str, bytes] = {}
+        self.words, self.parts = WordIds(self._fresh), WordIds(self._viterbi)
+        #: Whether texts may be cut at single spaces: no piece reaches across one or a line end, and a space stands before a text.
+        self.by_runs = not glued and bool(line) and bool(self.before)
 
     def _keys(self, own: list[int]):
         letters = np.zeros((len(self.names) + 1, self.widest), np.uint32)
@@ -99,19 +108,33 @@ class Pieces:
         return self.merged("".join(want)) == want
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pair, back = np.unique((a + 1) * (self.unknown + 1) + b, return_inverse=True)
-        known, out = self.pairs, np.empty(len(pair), bool)
-        for k, p in enumerate(pair.tolist()):
-            good = known.get(p)
-            if good is None:
-                good = known[p] = self._may_follow(p // (self.unknown + 1) - 1, p % (self.unknown + 1))
-            out[k] = good
-        return out[back]
-
-    def _advance(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words that all have the same length."""
+        """Whether each b may stand behind its a; pairs are looked up in two sorted arrays, the second of those met lately."""
+        pair = (a + 1) * (self.unknown + 1) + b
+        out, left = np.zeros(len(pair), bool), np.ones(len(pair), bool)
+        for keys, good in self.pairs:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+                hit = keys[at] == pair
+                out |= hit & good[at]
+                left &= ~hit
+        if left.any():
+            fresh, back = np.unique(pair[left], return_inverse=True)
+            good = np.array([self._may_follow(p // (self.unknown + 1) - 1, p % (self.unknown + 1)) for p in fresh.tolist()], bool)
+            out[left] = good[back]
+            (old, old_good), (late, late_good) = self.pairs
+            late, late_good = np.r_[late, fresh], np.r_[late_good, good]
+            if len(late) > LATE:
+                late, late_good, old, old_good = late[:0], late_good[:0], np.r_[old, late], np.r_[old_good, late_good]
+                order = np.argsort(old)
+                old, old_good = old[order], old_good[order]
+            order = np.argsort(late)
+            self.pairs = [(old, old_good), (late[order], late_good[order])]
+        return out
+
+    def _advance(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words that all have the same length, one behind the other, and how many each has."""
         n, length = len(words), len(words[0])
-        codes = np.array([[ord(c) for c in w] for w in words], np.uint32)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length)
         prefix = np.zeros((n, length + 1), np.uint64)
         powers = np.ones(self.widest + 1, np.uint64)
         last, width = np.full((n, length + 1), -1, np.int64), np.zeros((n, length + 1), np.int64)
@@ -120,87 +143,148 @@ class Pieces:
                 powers[k] = powers[k - 1] * _BASE
             for e in range(1, length + 1):
                 prefix[:, e] = prefix[:, e - 1] * _BASE + codes[:, e - 1] + np.uint64(1)
+                found = []  # (rows, size, pieces) of the substrings that end here
                 for size in range(1, min(self.widest, e) + 1):
                     h = prefix[:, e] - prefix[:, e - size] * powers[size]
                     at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                    hit = self.keys[at] == h
-                    piece = self.key_ids[at]
-                    if hit.any():
-                        rows = np.flatnonzero(hit)
-                        hit[rows] = (self.letters[piece[rows], :size] == codes[rows, e - size : e]).all(1)
-                        if size < self.widest:
-                            hit[rows] &= self.letters[piece[rows], size] == 0
+                    rows = np.flatnonzero(self.keys[at] == h)
+                    piece = self.key_ids[at[rows]]
+                    same = (self.letters[piece, :size] == codes[rows, e - size : e]).all(1)
+                    if size < self.widest:
+                        same &= self.letters[piece, size] == 0
+                    rows, piece = rows[same], piece[same]
                     if size == 1:
-                        piece = np.where(hit, piece, self.unknown)
-                        hit = np.ones(n, bool)
-                    rows = np.flatnonzero(hit)
-                    if not len(rows):
-                        continue
-                    good = rows[self.may_follow(last[rows, e - size], piece[rows])]
-                    longer = good[width[good, e] < size]
-                    width[longer, e], last[longer, e] = size, piece[longer]
+                        own = np.full(n, self.unknown)
+                        own[rows] = piece
+                        rows, piece = np.arange(n), own
+                    if len(rows):
+                        found.append((rows, np.full(len(rows), size), piece))
+                rows, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+                good = self.may_follow(last[rows, e - size], piece)
+                rows, size, piece = rows[good], size[good], piece[good]  # in order of size: the longest is written last
+                width[rows, e], last[rows, e] = size, piece
         return self._traced(words, last, width)
 
-    def _traced(self, words, last, width) -> list[list[int]]:
-        out = []
-        for k, w in enumerate(words):
-            e, ids = len(w), []
-            own_last, own_width = last[k].tolist(), width[k].tolist()
-            while e > 0:
-                if not own_width[e]:
-                    raise ValueError(f"no pieces for {w!r}")
-                ids.append((own_last[e], e))
-                e -= own_width[e]
-            flat: list[int] = []
-            for piece, end in reversed(ids):
-                flat += self.fallback(w[end - 1]) if piece == self.unknown else [piece]
-            out.append(flat)
-        return out
+    def _traced(self, words, last, width) -> tuple[np.ndarray, np.ndarray]:
+        """Follow the back pointers of all words at once."""
+        n, at = len(words), np.full(len(words), last.shape[1] - 1)
+        every, steps = np.arange(n), []
+        while (at > 0).any():
+            moves = width[every, at]
+            if ((moves == 0) & (at > 0)).any():
+                raise ValueError(f"no pieces for {words[int(np.flatnonzero((moves == 0) & (at > 0))[0])]!r}")
+            steps.append((np.where(at > 0, last[every, at], -1), at))
+            at = at - np.where(at > 0, moves, 0)
+        piece = np.stack([s for s, _ in reversed(steps)], 1)
+        end = np.stack([e for _, e in reversed(steps)], 1)
+        row, column = np.nonzero(piece >= 0)
+        flat = piece[row, column]
+        odd = np.flatnonzero(flat == self.unknown)
+        if not len(odd):
+            return flat.astype(np.int32), np.bincount(row, minlength=n)
+        spelled = {k: self.fallback(words[row[k]][end[row[k], column[k]] - 1]) for k in odd.tolist()}  # characters without a piece
+        sizes = np.ones(len(flat), np.int64)
+        sizes[odd] = [len(x) for x in spelled.values()]
+        out = np.repeat(flat, sizes)
+        starts = np.cumsum(sizes) - sizes
+        for k, x in spelled.items():
+            out[starts[k] : starts[k] + len(x)] = x
+        return out.astype(np.int32), np.bincount(row, sizes, n).astype(np.int64)
 
     def fallback(self, letter: str) -> list[int]:
         return [self.bytes_ids[b] for b in letter.encode("utf-8", "surrogatepass")]
 
-    def _one(self, word: str) -> list[int]:
+    def _one(self, word: str) -> np.ndarray:
         """A long word's pieces: the same pass, one position after the other."""
         last, width = [-1] * (len(word) + 1), [0] * (len(word) + 1)
-        base = self.unknown + 1
+        base, pairs = self.unknown + 1, {}
         for e in range(1, len(word) + 1):
             for size in range(min(self.widest, e), 0, -1):
                 piece = self.ids.get(word[e - size : e], self.unknown if size == 1 else -1)
                 if piece < 0:
                     continue
                 pair = (last[e - size] + 1) * base + piece
-                good = self.pairs.get(pair)
+                good = pairs.get(pair)
                 if good is None:
-                    good = self.pairs[pair] = self._may_follow(last[e - size], piece)
+                    good = pairs[pair] = self._may_follow(last[e - size], piece)
                 if good:
                     last[e], width[e] = piece, size
                     break
-        return self._traced([word], np.array([last]), np.array([width]))[0]
+        return self._traced([word], np.array([last]), np.array([width]))[0]  # one word's ids
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        cut = [self.cut.findall(self.before + t.replace(" ", SPACE)) if t else [] for t in texts]
+    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of runs that stood between spaces, the space before them included unless they begin with a line end."""
+        return self._of_parts([self.cut.findall(w if w[:1] == "\n" else SPACE + w) for w in words])
+
+    def _of_parts(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        ids, each = self.parts.ids(pa.array([x for c in cut for x in c], pa.string()))
+        return ids, run_sums(each, np.array([len(c) for c in cut], np.int64))
+
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of words; those of equal length advance together."""
+        if len(self.pairs[0][0]) > PAIRS:
+            self._forget()
         by_length = defaultdict(list)
-        for w in {w for c in cut for w in c if w not in known}:
-            by_length[len(w)].append(w)
-        for length, words in by_length.items():
-            if length > LONGEST:
-                for w in words:
-                    known[w] = np.array(self._one(w), np.int32).tobytes()
-                continue
-            for i in range(0, len(words), 8192):
-                part = words[i : i + 8192]
-                for w, ids in zip(part, self._advance(part), strict=True):
-                    known[w] = np.array(ids, np.int32).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in c]), np.int32) for c in cut]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids. The escape for spaces (U+2581) always reads as a space."""
-        text = b"".join([self.spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text.removeprefix(" ") if self.before else text
+        for k, w in enumerate(words):
+            by_length[len(w)].append(k)
+        out, order, counts = [np.empty(0, np.int32)], [], np.zeros(len(words), np.int64)
+        for length, own in by_length.items():
+            for i in range(0, len(own), 8192 if length <= LONGEST else 1):
+                part = own[i : i + 8192] if length <= LONGEST else own[i : i + 1]
+                if length <= LONGEST:
+                    ids, counts[part] = self._advance([words[k] for k in part])
+                else:
+                    ids = self._one(words[part[0]])
+                    counts[part] = len(ids)
+                out.append(ids)
+                order += part
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(np.concatenate(out), starts, counts), counts
+
+    def _forget(self) -> None:
+        self.pairs = [(np.empty(0, np.int64), np.empty(0, bool))] * 2
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's begin (with the end of the last). Null texts have none."""
+        texts = texts.fill_null("")
+        # a line end is a part of its own, and no space belongs to what stands behind it
+        runs = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        words, edges = runs.values, np.asarray(runs.offsets).astype(np.int64)
+        odd = np.asarray(pc.or_(pc.equal(pc.binary_length(words), 0), pc.ends_with(words, SPACE)))  # spaces in a row, and at the ends
+        alone = np.add.reduceat(np.r_[odd, False].astype(np.int64), edges[:-1]) > 0 if len(texts) else np.empty(0, bool)
+        if not self.by_runs:
+            alone[:] = True
+        out: list[np.ndarray] = []
+        counts = np.zeros(len(texts), np.int64)
+        if not alone.any():
+            ids, each = self.words.ids(words)
+            return ids, np.r_[0, np.cumsum(each)][edges]
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            ids, each = self.words.ids(words.filter(pa.array(np.repeat(~alone, np.diff(edges)))))
+            ends = np.r_[0, np.cumsum(each)][np.cumsum(np.r_[0, np.diff(edges)[rest]])]
+            counts[rest] = np.diff(ends)
+        whole = [self.before + t.replace(" ", SPACE) if t else "" for t in texts.filter(pa.array(alone)).to_pylist()]
+        pool, each = self._of_parts([self.cut.findall(t) for t in whole])
+        own = np.split(pool, np.cumsum(each)[:-1])
+        at = 0
+        for k, single in enumerate(alone.tolist()):
+            if single:
+                out.append(own[at])
+                counts[k], at = len(out[-1]), at + 1
+            else:
+                j = int(np.searchsorted(rest, k))
+                out.append(ids[ends[j] : ends[j + 1]])
+        return np.concatenate([np.empty(0, np.int32), *out]), np.r_[0, np.cumsum(counts)]
+
+    def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """The texts of ids (each from one edge to the next). The escape for spaces (U+2581) always reads as a space."""
+        lengths = self.spelled_lengths[ids]
+        at = np.r_[0, np.cumsum(lengths)][edges].tolist()
+        data = gathered(self.spelled_pool, self.spelled_starts[ids], lengths).tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [t.removeprefix(" ") for t in texts] if self.before else texts
 
 
 _models: dict[str, Pieces] = {}
@@ -229,13 +313,15 @@ def encode_texts(df: DataFrame, model: Callable[[], str], text: str = "text", ou
         own = pieces(model())
         where = names.index(text)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = part.column(where).to_pylist()
-                ids = [None if t is None else x for t, x in zip(texts, own.encode([t or "" for t in texts]), strict=True)]
-                more = [pa.array(ids, pa.list_(pa.int32()))]
+            for i, n in text_slices(batch.column(where)):
+                part = batch.slice(i, n)
+                texts = part.column(where)
+                ids, edges = own.encode(texts)
+                nulls = texts.is_null()
+                offsets = pa.array(edges, pa.int32(), mask=np.r_[np.asarray(nulls), False])
+                more = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
                 if decoded:
-                    more.append(pa.array([None if x is None else own.decode(x) for x in ids], pa.string()))
+                    more.append(pc.if_else(nulls, None, pa.array(own.decode(ids, edges), pa.string())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, out, *([decoded] if decoded else [])])
 
     return df.mapInArrow(run, schema)
@@ -247,14 +333,16 @@ def piece_digests(df: DataFrame, model: Callable[[], str], text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model())
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = own.encode(texts)
-                back = [own.decode(x) for x in ids]
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.astype("<i4").tobytes()) for x in ids]), pa.array([sha(t.encode()) for t in back]), pa.array([a == b for a, b in zip(texts, back, strict=True)])], names=["key", "n_pieces", "ids_sha256", "text_sha256", "round_trip"])
+            for i, n in text_slices(batch.column(1)):
+                part = batch.slice(i, n)
+                texts = part.column(1).fill_null("")
+                ids, edges = own.encode(texts)
+                back, raw, at = own.decode(ids, edges), memoryview(ids.astype("<i4").tobytes()), (4 * edges).tolist()
+                digests = [sha(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                same = pc.equal(texts, pa.array(back, texts.type))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edges)), pa.array(digests), pa.array([sha(t.encode()) for t in back]), same], names=["key", "n_pieces", "ids_sha256", "text_sha256", "round_trip"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "key long, n_pieces long, ids_sha256 string, text_sha256 string, round_trip boolean").withColumnRenamed("key", key)
