@@ -14,6 +14,7 @@ a constant, because checksums of data that hold checksums are weak.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -21,17 +22,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.llm.words import WordIds, gathered, run_sums, text_slices
 from inkveil.session import Scratch, ship
 
 #: The constant that masked checksums add (fixed value of the record format).
 MASK_DELTA = 0xA282EAD8
 NULL_KEY, WIDE = 1, 2
-#: Encoded pieces that a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
 WRITE_BYTES = 4 << 20
 
 
@@ -60,43 +61,74 @@ def parsed(data: bytes, at: int) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file that drops white space, remembering the ids of what occurs between it.
+    """Encodes texts with a tokenizers file, remembering the ids of what occurs between spaces.
 
-    Texts are cut at spaces and line ends, where such a tokenizer never has a token; plain ASCII runs are cut further
-    into letters, single digits and the rest, which is how the tokenizer itself cuts. Whatever the cuts can't be sure
-    of (apostrophes, control characters, special tokens, other scripts) goes to the tokenizer as a whole.
+    Texts are cut at spaces and line ends if the file is seen never to have a token there: it drops white space, and what it
+    does before that (composing, lower-casing) doesn't reach across. Where it also lower-cases and splits digits one by
+    one, plain ASCII runs are cut further into letters, single digits and the rest, as the tokenizer does. What the cuts can't be
+    sure of (apostrophes, control characters, special tokens, other scripts) goes to the tokenizer between spaces, and with any
+    other file whole texts do.
     """
 
     CUT = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
     UNSURE = re.compile(r"['<\x00-\x1f\x7f]")
+    #: The pattern of tokenizers that take letters, single digits and other runs, without white space (a fixed value).
+    RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*runs).difference(known)
-        plain = {w: self.CUT.findall(w.lower()) for w in fresh if w.isascii() and not self.UNSURE.search(w)}
-        single = list({p for cut in plain.values() for p in cut if p not in known})
-        for i in range(0, len(single), 2048):  # each is one word to the tokenizer: together they are one text
-            part = single[i : i + 2048]
+        self.cuts, self.plain = self._checked(json.loads(self.tokenizer.to_str()))
+        self.words, self.parts = WordIds(self._fresh), WordIds(self._single)
+
+    def _checked(self, file: dict) -> tuple[bool, bool]:
+        """Whether texts may be cut at spaces, and plain runs further."""
+        before = file.get("normalizer") or {}
+        steps = before.get("normalizers", [before]) if before else []
+        kinds = [x.get("type") for x in steps]
+        blank = all(x.get("type") != "Replace" or x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in steps)
+        parts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [file.get("pre_tokenizer") or {}])
+        first, rest = parts[0], parts[1:]
+        runs = first.get("type") == "Split" and first.get("pattern") == {"Regex": self.RUNS} and first.get("behavior") == "Removed" and first.get("invert") is True
+        bytewise = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+        added = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not re.search(r"\s", x["content"]) and x["content"].startswith("<") for x in file.get("added_tokens", []))
+        cuts = set(kinds) <= {"NFC", "Replace", "Lowercase"} and blank and runs and bytewise and added and not file.get("truncation") and not file.get("padding")
+        return cuts, cuts and "Lowercase" in kinds
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of what is one word to the tokenizer: many words together are one text."""
+        ids, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            edges = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
-            for w, begin, end in zip(part, edges[:-1], edges[1:], strict=True):
-                known[w] = ids[begin:end].tobytes()
-        whole = list(fresh - plain.keys())
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, cut in plain.items():
-            known[w] = b"".join([known[p] for p in cut])
-        return [np.frombuffer(b"".join(map(known.__getitem__, r)), "<u4") for r in runs]
+            ids.append(np.array(e.ids, np.int32))
+            counts.append(np.bincount(e.word_ids, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that stand between spaces."""
+        plain = np.array([self.plain and bool(w) and w.isascii() and not self.UNSURE.search(w) for w in words], bool)
+        cut = [self.CUT.findall(w.lower()) for w, p in zip(words, plain.tolist(), strict=True) if p]
+        ids, each = self.parts.ids(pa.array([x for c in cut for x in c], pa.string()))
+        whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = run_sums(each, np.array([len(c) for c in cut], np.int64))
+        counts[~plain] = [len(x) for x in whole]
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]  # the order in which ids stand in the pool
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(np.concatenate([ids, *whole]), starts, counts), counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's begin (with the end of the last). Null texts have none."""
+        texts = texts.fill_null("")
+        if not self.cuts:
+            ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)])
+        runs = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ids, each = self.words.ids(runs.values)
+        return ids, np.r_[0, np.cumsum(each)][np.asarray(runs.offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -124,16 +156,17 @@ def _write(tokenizer: Callable[[], str], folder: str, end_id: int | None):
         files, root = _place(folder)
         name, own = f"{root}/shard-{task.partitionId():06d}", f"{root}/_{task.partitionId()}-{task.taskAttemptId()}"
         code, at, tokens, index = encoder(tokenizer()), 0, 0, []
-        end = np.array([] if end_id is None else [end_id], "<u4")
+        end = np.array([] if end_id is None else [end_id], np.int32)
         with files.open_output_stream(f"{own}.rec") as out:
             for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    for key, ids in zip(part.column(0).to_pylist(), code.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                        data = record(key, np.concatenate([ids, end]))
+                for i, n in text_slices(batch.column(1)):
+                    part = batch.slice(i, n)
+                    ids, edges = code.encode(part.column(1))
+                    for key, a, b in zip(part.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        data = record(key, np.concatenate([ids[a:b], end]))
                         out.write(data)
-                        index.append((at, len(ids) + len(end)))
-                        at, tokens = at + len(data), tokens + len(ids) + len(end)
+                        index.append((at, b - a + len(end)))
+                        at, tokens = at + len(data), tokens + b - a + len(end)
         if not index:
             files.delete_file(f"{own}.rec")
             return
