@@ -6,10 +6,10 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions import patterns  # noqa: F401  (the package is shipped as a whole)
+from inkveil.session import ship
 
 #: How far from a region a string may begin and still be blanked.
 MARGIN = 10.0
@@ -64,6 +64,31 @@ def _blank(out: bytearray, kind: str, start: int, end: int) -> None:
         out[start + 1 : closed] = b"0" * (closed - start - 1)
 
 
+def decimal(data: bytes, at: int) -> tuple[float, int] | None:
+    """The number that begins at a place, and where it ends; None if there is none. A digit may be missing before the point; there are no exponents."""
+    m = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)").match(data, at)
+    return (float(m[0]), m.end()) if m else None
+
+
+def numbers_before(data: bytes, end: int, n: int, start: int = 0) -> list[float] | None:
+    """The last n numbers in a row before a place, None if there are fewer; strings and other words interrupt them."""
+    numbers: list[float] = []
+    for kind, a, b in _tokens(data[:end]):
+        if a < start:
+            continue
+        if kind == "word" and _NUMBER.match(data[a:b]):
+            numbers.append(float(data[a:b]))
+        else:
+            numbers = []
+    return numbers[-n:] if n and len(numbers) >= n else None
+
+
+def is_operator(data: bytes, at: int, word: bytes) -> bool:
+    """Whether an operator stands at a place: the word, and behind it a blank, a delimiter or the end."""
+    after = data[at + len(word) : at + len(word) + 1]
+    return data[at : at + len(word)] == word and (not after or after in b" \t\n\r()<>[]/%")
+
+
 def blank_all(data: bytes, kinds: tuple[str, ...] = ("string", "hex")) -> bytes:
     """All text strings blanked: literal strings by spaces, hex strings by zeros."""
     out = bytearray(data)
@@ -97,6 +122,24 @@ def blank_regions(data: bytes, regions: list[tuple[float, float, float, float]])
     return bytes(out)
 
 
+#: Another name under which all text of a stream is blanked, whatever region is asked for.
+blank_text_operators = blank_all
+
+
+def blank_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """All strings blanked that lie within certain bytes."""
+    out, spans = bytearray(data), sorted(spans)
+    for start, end in spans:
+        for kind, a, b in _tokens(data[start:end]):
+            if kind in ("string", "hex") and b - a > 1:
+                _blank(out, kind, start + a, start + b)
+    return bytes(out)
+
+
+def deflated(data: bytes) -> bytes:
+    return zlib.compress(data)
+
+
 def inflated(data: bytes) -> bytes:
     """A compressed stream's bytes; with or without a zlib header."""
     try:
@@ -107,6 +150,8 @@ def inflated(data: bytes) -> bytes:
 
 def blank_stream(content: Column) -> Column:
     """blank_all for a binary column, in Arrow batches."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
 
     @F.pandas_udf("binary")
     def blanked(data: pd.Series) -> pd.Series:

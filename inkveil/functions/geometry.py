@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Smallest width and height of a bar for verifying and for auditing, the audit's inset, and the padding of regions.
 VERIFY_BAR, AUDIT_BAR, INSET, PADDING = (5.0, 2.0), (5.0, 5.0), 1.0, 2.0
 
-# Advance widths of the standard fonts, in thousandths of the size.
+# Advance widths of the standard fonts (the public metrics of Helvetica and Times-Roman), in thousandths of the size.
 _ORDER = "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789"
 HELVETICA = dict(zip(_ORDER, (
     556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500,
@@ -36,14 +36,29 @@ def font(name: str | None) -> tuple[dict[str, int], int]:
     return FONTS.get(name) or FONTS.get(name.rsplit("_", 1)[-1]) or ({}, FALLBACK)
 
 
-def text_units(text: Column, name: str = "Helvetica") -> Column:
-    """Sum of the advance widths of a text's characters (long, in thousandths): counts by width, so it stays in generated code."""
+def text_moments(text: Column, name: str = "Helvetica") -> tuple[Column, Column]:
+    """Sums of the advance widths of a text's characters and of their squares (longs, in thousandths).
+
+    One pass spells every width as a letter of its own, and the letters are counted, so it stays in generated code.
+    """
     widths, default = font(name)
-    total = F.length(text).cast("long") * default
-    for w in sorted(set(widths.values()) - {default}):
-        letters = "".join(sorted(c for c, v in widths.items() if v == w))
-        total = total + (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long") * (w - default)
-    return total
+    kinds = sorted(set(widths.values()) - {default})
+    length = F.length(text).cast("long")
+    if not kinds:
+        return length * default, length * default**2
+    spelled = "".join(chr(0xE000 + k) for k in range(len(kinds) + 1))  # private use: no text of a standard font has them
+    letters = "".join(widths) + spelled
+    coded = F.translate(text, letters, "".join(spelled[kinds.index(w)] if w != default else spelled[-1] for w in widths.values()) + spelled[-1] * len(spelled))
+    counts = [(length - F.length(F.replace(coded, F.lit(c), F.lit(""))), w) for c, w in zip(spelled, kinds, strict=False)]
+    first, second = length * default, length * default**2
+    for n, w in counts:
+        first, second = first + n * (w - default), second + n * (w**2 - default**2)
+    return first, second
+
+
+def text_units(text: Column, name: str = "Helvetica") -> Column:
+    """Sum of the advance widths of a text's characters (long, in thousandths)."""
+    return text_moments(text, name)[0]
 
 
 def overlaps(a: tuple[Column, ...], b: tuple[Column, ...], inset: float = 0.0) -> Column:

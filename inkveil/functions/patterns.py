@@ -1,12 +1,12 @@
 """Entity patterns, exemption codes, and one regular-expression dialect for them.
 
-Patterns are written once with three marks: {b} a word boundary between ASCII word characters, {s} a white-space
-character (Unicode), {S} one that is neither white space nor one of the characters that follow in a class. java() and
-re2() spell them for Spark and for DuckDB.
+Patterns are written once with two marks: {b} a boundary of ASCII word characters (before the first character of a
+match, or behind the last), and {s} a white-space character (Unicode). java() and re2() spell them for Spark and for DuckDB.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -36,6 +36,12 @@ METADATA = {
 }
 INFO_FIELDS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")
 
+#: What a text must hold to have a match: a plain pattern that is quicker to look for. Names have none.
+HINTS = {
+    "ssn": "[0-9]-[0-9]", "phone": "[0-9]{4}", "email": "@", "credit-card": "[0-9]{4}", "ip-address": r"[0-9]\.[0-9]", "date": "[0-9]{4}|[0-9][-/][0-9]",
+    "attorney-client-marker": "[Pp][Rr](?:[Ii][Vv][Ii][Ll][Ee][Gg]|[Oo][Dd][Uu][Cc][Tt])",
+}
+
 _JAVA_SPACE = r"\t\n\x0B\f\r\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _RE2_SPACE = r"\t\n\x{0B}\f\r\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _WORD = "[A-Za-z0-9_]"
@@ -43,7 +49,11 @@ _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
 def java(pattern: str) -> str:
-    return pattern.replace("{b}", _BOUNDARY).replace("{s}", _JAVA_SPACE)
+    """The pattern for Spark. A match begins and ends with a word character where it has a boundary, so one look is enough."""
+    head = re.match(r"(\(\?i\))?\{b\}", pattern)
+    if head:
+        pattern = (head[1] or "") + f"(?<!{_WORD})" + pattern[head.end() :]
+    return pattern.replace("{b}", f"(?!{_WORD})").replace("{s}", _JAVA_SPACE)
 
 
 def re2(pattern: str) -> str:
@@ -114,6 +124,8 @@ class Pattern:
     code: str | None = None
     basis: str | None = None
     pages: tuple[int, ...] = ()
+    color: tuple[float, float, float] | None = None
+    hint: str | None = None
 
 
 def entity_patterns(types: list[str] | None = None, codes: dict[str, str] | None = None) -> list[Pattern]:
@@ -121,4 +133,44 @@ def entity_patterns(types: list[str] | None = None, codes: dict[str, str] | None
     types = list(ENTITIES) if types is None else [t.strip().lower() for t in types]
     if unknown := [t for t in types if t not in ENTITIES]:
         raise ValueError(f"unknown entity types: {', '.join(unknown)}")
-    return [Pattern(t, java(ENTITIES[t]), LABELS[t], (codes or {}).get(t, EXEMPTIONS[t][0]), EXEMPTIONS[t][1]) for t in types]
+    return [Pattern(t, java(ENTITIES[t]), LABELS[t], (codes or {}).get(t, EXEMPTIONS[t][0]), EXEMPTIONS[t][1], hint=HINTS.get(t)) for t in types]
+
+
+def selected_types(text: str | None) -> list[str]:
+    """Entity types of a comma-separated list, all of them for none; unknown ones raise."""
+    return [p.name for p in entity_patterns(text.split(",") if text else None)]
+
+
+def default_code(kind: str) -> str:
+    """The exemption code of a finding's type; what isn't a privilege marker is personal."""
+    return EXEMPTIONS.get(kind, PRIVACY)[0]
+
+
+def loose_pattern(text: str) -> str | None:
+    """What a user types for scanned pages: /pattern/flags, or a literal in either case; None if it is no pattern."""
+    m = re.fullmatch(r"/(.+)/([gimsuy]*)", text, re.S)
+    found = from_script(m[1], m[2]) if m else "(?i)" + escaped(text)
+    try:
+        re.compile(re.sub(r"\\z", r"\\Z", found.replace("&&", "")))
+    except re.error:
+        return None
+    return found if text.strip() else None
+
+
+#: Values of a group of a handoff, patterns of all groups together, and the label of groups without one.
+GROUP_VALUES, ALL_VALUES, PLAIN_LABEL = 500, 1000, "REDACTED"
+
+
+def handed_patterns(handoff: str) -> list[Pattern]:
+    """Patterns of a JSON object {"groups": [{"values", "label", "code"}], "strings": [...]}: distinct values that are not blank.
+
+    No more than GROUP_VALUES of a group or list and ALL_VALUES in all are taken, as the interface states.
+    """
+    given = json.loads(handoff)
+    groups = [*given.get("groups", []), {"values": given.get("strings", [])}]
+    out = []
+    for g in groups:
+        values = list(dict.fromkeys(v for v in g.get("values") or [] if isinstance(v, str) and v.strip()))[:GROUP_VALUES]
+        label = g.get("label") or g.get("code") or PLAIN_LABEL
+        out += [Pattern(v, parse_pattern(v), label, g.get("code")) for v in values]
+    return out[:ALL_VALUES]

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkveil.session import ship
+
 #: The subtype of an annotation that marks text for a redaction which was never applied.
 MARK = "Redact"
 _ITEM, _BOX = ["str", "x", "y", "width", "height"], ["x", "y", "width", "height"]
@@ -44,6 +46,8 @@ def detected_regions(items: DataFrame, detector: Callable[[pd.DataFrame, int], p
     names = [key, "page", "region_idx", *_BOX]
     schema = T.StructType([items.schema[key], items.schema["page"], T.StructField("region_idx", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in _BOX]])
 
+    ship(items.sparkSession)
+
     def page(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("item_idx")
         found = detector(group[_ITEM].reset_index(drop=True), int(group["page"].iloc[0]))

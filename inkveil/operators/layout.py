@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,7 +56,7 @@ def match_regions(found: DataFrame, placed: DataFrame, key: str = "doc_id", heig
     return box.select(key, "page", "type", "match_idx", (F.col("x1") - PADDING).alias("x"), (F.lit(height) - F.col("y2") - PADDING).alias("y"), (F.col("x2") - F.col("x1") + 2 * PADDING).alias("width"), (F.col("y2") - F.col("y1") + 2 * PADDING).alias("height"))
 
 
-def normalized(regions: DataFrame, height: float = HEIGHT) -> DataFrame:
+def normalized(regions: DataFrame, height: float | Column = HEIGHT) -> DataFrame:
     """Regions with x1, y1, x2, y2 in bottom-left coordinates."""
-    top = F.lit(height) - F.col("y")
+    top = (height if isinstance(height, Column) else F.lit(height)) - F.col("y")
     return regions.withColumns({"x1": F.col("x"), "y1": top - F.col("height"), "x2": F.col("x") + F.col("width"), "y2": top})

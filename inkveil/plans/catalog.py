@@ -79,8 +79,8 @@ def entity_privilege(spark, sf_dir):
 
 
 def redact_masked_text(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", detect.masked(F.coalesce("text", F.lit("")), entity_patterns(["email", "ip-address"])).alias("masked"))
+    docs = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    return detect.masked(docs, entity_patterns(PLAIN)).withColumnRenamed("text", "masked")
 
 
 def scanned_docs(spark, sf_dir):
@@ -173,8 +173,8 @@ def hex_colors(spark, sf_dir):
 
 
 def document_hashes(spark, sf_dir):
-    masked = detect.masked(F.coalesce("text", F.lit("")), entity_patterns(["email"]))
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256_before"), F.sha2(masked, 256).alias("sha256_after"))
+    docs = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.sha2("text", 256))
+    return detect.masked(docs, entity_patterns(PLAIN)).select("doc_id", F.col("before").alias("sha256_before"), F.sha2("text", 256).alias("sha256_after"))
 
 
 def _quoted(s: str) -> str:
@@ -221,7 +221,7 @@ QUERIES = {
     )
 }
 
-_SENSITIVE = " ".join(f"WHEN regexp_matches(value, {_quoted(re2(p))}) THEN '{name}'" for name, p in METADATA.items())
+_SENSITIVE = " ".join(f"WHEN regexp_matches(value, {_quoted(re2(p))}) THEN '{name}: ' || value[1:120]" for name, p in METADATA.items())
 ORACLES = {
     "detect_summary": f"SELECT type, count(*) AS n_matches, count(DISTINCT trim(value)) AS n_distinct, count(DISTINCT doc_id) AS n_docs FROM ({_matches_sql('documents', 'doc_id', PLAIN)}) GROUP BY type",
     "detect_matches": _matches_sql("documents", "doc_id", PLAIN),
@@ -254,3 +254,4 @@ ORACLES = {
     "font_width": f"SELECT p_partkey, {_width_sql('p_name')} AS helvetica, 600 * length(p_name) AS courier FROM part",
     "hex_colors": "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0.0 ELSE round((p_partkey // 65536 % 256) / 255.0::DOUBLE, 6) END AS r, CASE WHEN p_partkey % 9 = 0 THEN 0.0 ELSE round((p_partkey // 256 % 256) / 255.0::DOUBLE, 6) END AS g, CASE WHEN p_partkey % 9 = 0 THEN 0.0 ELSE round((p_partkey % 256) / 255.0::DOUBLE, 6) END AS b FROM part",
 }
+

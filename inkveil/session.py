@@ -32,6 +32,11 @@ def ship(spark: SparkSession) -> None:
     _shipped[context.applicationId] = archive
 
 
+def as_uri(folder: str) -> str:
+    """A folder as a URI: plain paths are those of this machine's file system."""
+    return folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a folder of our own.
 

@@ -6,7 +6,6 @@ This is an extension: the same columns that serve tables serve streams.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,7 +25,7 @@ def match_stream(docs: DataFrame, patterns: list[Pattern], text: str = "text", k
 
 def masked_stream(docs: DataFrame, patterns: list[Pattern], text: str = "text") -> DataFrame:
     """The documents with their matches masked."""
-    return docs.withColumn(text, detect.masked(F.col(text), patterns))
+    return detect.masked(docs, patterns, text)
 
 
 def write_stream(found: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from inkveil.functions.content_stream import blank_all, blank_regions, blank_stream
 from inkveil.functions.patterns import entity_patterns, from_script, parse_pattern
 from inkveil.operators import detect
-from inkveil.plans import catalog
+from inkveil.plans import catalog, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -68,21 +68,21 @@ def test_script_dialect(spark):
 
 def test_masks_hide_what_was_found(spark):
     df = spark.createDataFrame([(1, "mail a@b.org, or c@d.org."), (2, None)], "doc_id long, text string")
-    out = [r.m for r in df.select(detect.masked(df.text, entity_patterns(["email"])).alias("m")).collect()]
+    out = [r.text for r in detect.masked(df, entity_patterns(["email"])).collect()]
     assert out == ["mail ███████, or ███████.", None]
 
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("null" if v is None or str(v) in ("nan", "<NA>") else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLES[name]).df()
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
 
