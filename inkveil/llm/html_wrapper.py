@@ -48,19 +48,24 @@ ARTICLE = ("article", "main")
 TEMPLATE_PAGES, TEMPLATE_SHARE = 20, 0.98
 #: Characters of all references together up to which they are broadcast.
 BROADCAST_CHARS = 32 << 20
-#: Pairs of children up to which the best alignment is sought; longer lists are aligned by equal tags in order.
-ALIGN_PAIRS = 40_000
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Levels of elements that paths name; deeper elements go by the path of the one at that level.
+PATH_LEVELS = 100
+#: Pairs of tree shapes whose best alignment a worker remembers before it starts anew.
+REMEMBERED = 200_000
+#: Pairs of children up to which plain loops are quicker than arrays.
+FEW_PAIRS = 1024
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "marked", "path", "tag")
+    __slots__ = ("children", "level", "marked", "path", "tag")
 
-    def __init__(self, tag: str, marked: bool, path: str) -> None:
-        self.tag, self.marked, self.path = tag, marked, path
+    def __init__(self, tag: str, marked: bool, path: str, level: int = 0) -> None:
+        self.tag, self.marked, self.path, self.level = tag, marked, path, level
         self.children: list[Node | str] = []
 
     def own_text(self) -> str:
@@ -86,115 +91,279 @@ def _marked(tag: str, attributes: str) -> tuple[bool, str]:
     return False, name
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; whatever it leaves open or closes too often is put right as browsers do, roughly."""
-    root = Node("#", False, "")
-    open_, at, size = [root], 0, len(page)
-    raw_end = None
+class _Finder:
+    """Places of substrings in a page; one that isn't there any more is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at a place: at the first > that isn't quoted; a quote that is never closed is none."""
+        begin = at
+        while (m := _STOP.search(self.page, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            at = self.find(m[0], m.end()) + 1
+            if not at:
+                return self.find(">", begin)
+        return self.find(">", begin)
+
+
+def _tokens(page: str) -> Iterator[tuple]:
+    """("text", text), ("open", tag, attributes) and ("close", tag), in one pass over a page; raw elements' text is theirs as it is."""
+    finder, at, size, text = _Finder(page), 0, len(page), 0
     while at < size:
-        if raw_end is not None:
-            m = re.compile(rf"</{raw_end}\b[^>]*>", re.I).search(page, at)
-            end = m.start() if m else size
-            if end > at:
-                open_[-1].children.append(html.unescape(page[at:end]) if raw_end in ("title", "textarea") else page[at:end])
-            open_.pop()
-            at, raw_end = (m.end() if m else size), None
-            continue
-        m = _TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            text = page[at : m.start() if m else size]
-            if m is None and (cut := re.search(r"<[a-zA-Z/!?][^<]*\Z", text)):  # a tag that never ends
-                text = text[: cut.start()]
-            open_[-1].children.append(html.unescape(text))
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             break
-        at = m.end()
-        close, tag, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if m[1] is not None:
-            open_[-1].children.append(m[1])
-        if not tag:
+        after = page[start + 1 : start + 2]
+        close = after == "/"
+        name = _NAME.match(page, start + 1 + close)
+        if name is None and after not in ("!", "?", "/"):
+            at = start + 1  # a lone sign is text
+            continue
+        if start > text:
+            yield "text", html.unescape(page[text:start])
+        if name is None:
+            if page.startswith("<!--", start):
+                end = finder.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", start) and (end := finder.find("]]>", start)) >= 0:
+                yield "text", page[start + 9 : end]
+                at = end + 3
+            else:
+                end = finder.find(">", start)
+                at = size if end < 0 else end + 1
+            text = at
             continue
-        tag = tag.lower()
+        end = finder.tag_end(name.end())
+        if end < 0:  # a tag that never ends
+            return
+        tag = name[0].lower()
+        at = text = end + 1
         if close:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                if open_[k].tag in ("td", "th", "table", "article", "main") and tag in ("p", "b", "i", "a", "span", "em", "strong", "div"):
-                    break
+            yield "close", tag
             continue
-        if tag in ENDS_P:
+        yield "open", tag, page[name.end() : end]
+        if tag in RAW:
+            m = re.compile(rf"</{tag}\b[^>]*+>", re.I).search(page, at)
+            inner = page[at : m.start() if m else size]
+            if inner:
+                yield "text", html.unescape(inner) if tag in ("title", "textarea") else inner
+            yield "close", tag
+            at = text = m.end() if m else size
+    if text < size:
+        yield "text", html.unescape(page[text:])
+
+
+def parse(page: str) -> Node:
+    """The tree of a page; whatever it leaves open or closes too often is put right as browsers do, roughly.
+
+    The work is in proportion to the page: closing tags of what isn't open are passed over by a count of what is. A slash
+    at the end of a start tag means nothing, as in browsers.
+    """
+    root = Node("#", False, "")
+    open_, count = [root], defaultdict(int)
+
+    def shut(k: int) -> None:
+        for n in open_[k:]:
+            count[n.tag] -= 1
+        del open_[k:]
+
+    for kind, tag, *rest in _tokens(page):
+        if kind == "text":
+            open_[-1].children.append(tag)
+            continue
+        if kind == "close":
+            if count[tag]:
+                for k in range(len(open_) - 1, 0, -1):
+                    if open_[k].tag == tag:
+                        shut(k)
+                        break
+                    if open_[k].tag in ("td", "th", "table", "article", "main") and tag in ("p", "b", "i", "a", "span", "em", "strong", "div"):
+                        break
+            continue
+        if tag in ENDS_P and count["p"]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == "p":
-                    del open_[k:]
+                    shut(k)
                     break
                 if open_[k].tag in BLOCK:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(count[t] for t in CLOSES[tag][0]):
             ends, limits = CLOSES[tag]
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag in ends:
-                    del open_[k:]
+                    shut(k)
                     break
                 if open_[k].tag in limits:
                     break
-        marked, name = _marked(tag, rest)
-        node = Node(tag, marked or tag in OTHER, f"{open_[-1].path}/{tag}" + (f".{name}" if name and tag not in ARTICLE else ""))
-        open_[-1].children.append(node)
-        if tag in RAW:
-            open_.append(node)
-            raw_end = tag
-        elif tag not in VOID and not rest.endswith("/"):
+        marked, name = _marked(tag, rest[0])
+        above = open_[-1]
+        path = f"{above.path}/{tag}" + (f".{name}" if name and tag not in ARTICLE else "") if above.level < PATH_LEVELS else above.path
+        node = Node(tag, marked or tag in OTHER, path, above.level + 1)
+        above.children.append(node)
+        if tag not in VOID:
             open_.append(node)
+            count[tag] += 1
     return root
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Matching nodes of two trees by simple tree matching."""
-    sizes: dict[tuple[int, int], int] = {}
-
-    def weigh(x: Node, y: Node) -> int:
-        """Most pairs of nodes that match if x and y do."""
-        if (key := (id(x), id(y))) not in sizes:
-            sizes[key] = 1 + (table(x, y)[-1][-1] if x.elements() and y.elements() else 0)
-        return sizes[key]
-
-    def table(x: Node, y: Node) -> list[list[int]]:
-        one, two = x.elements(), y.elements()
+class Aligner:
+    """Simple tree matching. Subtrees are told apart by their shapes (tags only), and the best alignment of two shapes is worked out once."""
+
+    def __init__(self) -> None:
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []
+        self.known: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def shape(self, root: Node) -> dict[int, int]:
+        """The shape number of each node of a tree, by its identity; children come before their parents."""
+        order, todo, found = [], [root], {}
+        while todo:
+            x = todo.pop()
+            order.append(x)
+            todo += x.elements()
+        for x in reversed(order):
+            key = (x.tag, tuple([found[id(c)] for c in x.elements()]))
+            if key not in self.numbers:
+                self.numbers[key] = len(self.shapes)
+                self.shapes.append(key)
+            found[id(x)] = self.numbers[key]
+        return found
+
+    def weight(self, a: int, b: int) -> int:
+        """Most pairs of nodes that match if two shapes' roots do (their tags are the same); the pairs below are worked out first."""
+        todo = [(a, b)]
+        while todo:
+            pair = todo[-1]
+            if pair in self.known:
+                todo.pop()
+                continue
+            one, two = (self.shapes[k][1] for k in pair)
+            need = [(p, q) for p in dict.fromkeys(one) for q in dict.fromkeys(two) if self.shapes[p][0] == self.shapes[q][0] and (p, q) not in self.known]
+            if need:
+                todo += need
+                continue
+            todo.pop()
+            self.known[pair] = 1 + sum(self._gain(one[p], two[q]) for p, q in self.matched(*pair))
+        return self.known[a, b]
+
+    def _gain(self, p: int, q: int) -> int:
+        return self.weight(p, q) if self.shapes[p][0] == self.shapes[q][0] else 0
+
+    def _gains(self, one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of all pairs of distinct shapes (0 where tags differ), and which of them each child is."""
+        left, i = np.unique(one, return_inverse=True)
+        right, j = np.unique(two, return_inverse=True)
+        table = np.array([[self._gain(int(p), int(q)) for q in right] for p in left], np.int32)
+        return table, i, j
+
+    @staticmethod
+    def _next_row(above: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """The row of best sums behind another, in one go: what ends at each child, then the maximum so far."""
+        row = above.copy()
+        np.maximum(row[1:], np.where(gain > 0, above[:-1] + gain, 0), out=row[1:])
+        return np.maximum.accumulate(row)
+
+    def matched(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Places of the children of two shapes that match in the best alignment.
+
+        Equal children at both ends match each other, which is never worse; the rest is aligned by sums of weights.
+        """
+        if (a, b) in self.pairs:
+            return self.pairs[a, b]
+        one, two = self.shapes[a][1], self.shapes[b][1]
+        n, head, tail = min(len(one), len(two)), 0, 0
+        while head < n and one[head] == two[head]:
+            head += 1
+        while tail < n - head and one[-1 - tail] == two[-1 - tail]:
+            tail += 1
+        inner, other = one[head : len(one) - tail], two[head : len(two) - tail]
+        found = (self._few if len(inner) * len(other) <= FEW_PAIRS else self._many)(inner, other) if inner and other else []
+        out = [(k, k) for k in range(head)] + [(head + x, head + y) for x, y in found] + [(len(one) - k, len(two) - k) for k in range(tail, 0, -1)]
+        self.pairs[a, b] = out
+        return out
+
+    def _few(self, one: tuple, two: tuple) -> list[tuple[int, int]]:
         best = [[0] * (len(two) + 1)]
         for p in one:
             row, above = [0], best[-1]
             for j, q in enumerate(two):
-                got = max(above[j + 1], row[j])
-                if p.tag == q.tag:
-                    got = max(got, above[j] + weigh(p, q))
-                row.append(got)
+                gain = self._gain(p, q)
+                row.append(max(above[j + 1], row[j], above[j] + gain if gain else 0))
             best.append(row)
-        return best
-
-    out, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        one, two = x.elements(), y.elements()
-        if not one or not two:
-            continue
-        if len(one) * len(two) > ALIGN_PAIRS:
-            rest = defaultdict(list)
-            for q in reversed(two):
-                rest[q.tag].append(q)
-            todo += [(p, rest[p.tag].pop()) for p in one if rest[p.tag]]
-            continue
-        best, i, j = table(x, y), len(one), len(two)
-        while i and j:
-            if one[i - 1].tag == two[j - 1].tag and best[i][j] == best[i - 1][j - 1] + weigh(one[i - 1], two[j - 1]):
-                todo.append((one[i - 1], two[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
+        out, x, y = [], len(one), len(two)
+        while x and y:
+            gain = self._gain(one[x - 1], two[y - 1])
+            if gain and best[x][y] == best[x - 1][y - 1] + gain:
+                x, y = x - 1, y - 1
+                out.append((x, y))
+            elif best[x][y] == best[x - 1][y]:
+                x -= 1
             else:
-                j -= 1
-    return out
+                y -= 1
+        return out[::-1]
+
+    def _many(self, one: tuple, two: tuple) -> list[tuple[int, int]]:
+        """The same for long lists, a row at a time. Only every so many rows are held; those between are made again."""
+        table, i, j = self._gains(one, two)
+        step = max(1, int(len(one) ** 0.5))
+        marks, row = [np.zeros(len(two) + 1, np.int32)], np.zeros(len(two) + 1, np.int32)
+        for k, c in enumerate(i.tolist(), 1):
+            row = self._next_row(row, table[c][j])
+            if k % step == 0:
+                marks.append(row)
+        out, x, y = [], len(one), len(two)
+        while x and y:
+            first = (x - 1) // step * step
+            rows = [marks[first // step]]
+            for c in i[first:x].tolist():
+                rows.append(self._next_row(rows[-1], table[c][j]))
+            while x > first and y:
+                here, above, gain = rows[x - first], rows[x - first - 1], int(table[i[x - 1]][j[y - 1]])
+                if gain and here[y] == above[y - 1] + gain:
+                    x, y = x - 1, y - 1
+                    out.append((x, y))
+                elif here[y] == above[y]:
+                    x -= 1
+                else:
+                    y -= 1
+        return out[::-1]
+
+    def align(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Matching nodes of two trees."""
+        if max(len(self.known), len(self.shapes), len(self.pairs)) > REMEMBERED:
+            self._empty()
+        shape = self.shape(a) | self.shape(b)
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            one, two = x.elements(), y.elements()
+            if one and two:
+                todo += [(one[p], two[q]) for p, q in self.matched(shape[id(x)], shape[id(y)])]
+        return out
+
+
+_aligner = Aligner()
+
+
+def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Matching nodes of two trees by simple tree matching."""
+    return _aligner.align(a, b)
 
 
 def _code(text: str) -> int:

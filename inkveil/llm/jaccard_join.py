@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.components import components
 from inkveil.llm.shingles import mixed, shingle_sets
+from inkveil.llm.words import freed
 from inkveil.session import Scratch, ship
 
 #: Tokens counted more often than this are the frequent class.
@@ -36,7 +37,7 @@ RARE = 64
 #: Tokens of a combination, and how many tokens of a prefix a class gets on average.
 K, PER_CLASS = 2, 2.0
 #: Bits of a token that are counted, tokens counted at a time, and frequent tokens up to which they are broadcast (8 bytes each).
-COUNTED, BUFFER, BROADCAST_TOKENS = 40, 1 << 21, 4 << 20
+COUNTED, BUFFER, BROADCAST_TOKENS = 40, 1 << 20, 4 << 20
 #: Members of a cell that one group compares.
 BLOCK = 1024
 #: Tokens of one side of a block whose links are counted.
@@ -155,7 +156,7 @@ def _first_pass(words: int, pieces: int):
             data = [np.diff(tokens[a:b], prepend=_begin(k, pieces)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for k, a, b in zip(full, at[full], at[full + 1], strict=True)]
             return _record(_FIRST, [full, [1] * len(full), [0] * len(full), np.diff(at)[full], [0] * len(full), data])
 
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 sets = shingle_sets(part.column(1), words)
@@ -185,7 +186,7 @@ def _frequent(pieces: int):
             often = tokens[n > RARE] + _begin(piece, pieces)
             return _record(_FIRST, [[piece], [1], [0], [len(often)], [0], [often.astype("<u8").tobytes()]])
 
-        for batch in batches:
+        for batch in freed(batches):
             kinds = np.asarray(batch.column(1))
             if (kinds == 0).any():
                 yield batch.filter(pa.array(kinds == 0))
@@ -208,7 +209,7 @@ def _signed(words: int, top: int, bottom: int, largest: int, often_of):
     sizes = size_classes(largest, top, bottom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 known, n = {}, {}
@@ -238,7 +239,7 @@ def _tokens(words: int):
     fields = pa.schema([("token", pa.int64()), ("set", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, 256):
                 sets = {set_id(x): x for x in shingle_sets(batch.slice(i, 256).column(1), words) if len(x)}
                 if sets:
@@ -252,7 +253,7 @@ def _named(words: int):
     fields = pa.schema([("set", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             yield _record(fields, [[set_id(x) if len(x) else None for x in shingle_sets(batch.column(1), words)], batch.column(1)])
 
     return run
@@ -269,7 +270,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
     def fill(batches):
         bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
+        for batch in freed(batches):
             for at in _places(batch.column(0).to_numpy()):
                 bits[at] = True
         packed = np.packbits(bits)
@@ -278,7 +279,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
     def join(batches):
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in freed(batches):
             for piece, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = np.frombuffer(data.as_buffer(), np.uint8)
                 total[piece] = total[piece] | got if piece in total else got
@@ -297,7 +298,7 @@ def _texts(words: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        for batch in batches:
+        for batch in freed(batches):
             keys = batch.column(0)
             passes = np.asarray(keys.is_null())
             at = _places(keys.fill_null(0).to_numpy(zero_copy_only=False))
@@ -313,7 +314,7 @@ def _texts(words: int, wanted):
 def _by_group(batches, names: tuple[str, ...], each=None) -> Iterator[dict[str, list]]:
     """Columns of each group of equal (cell, i, j) from sorted rows; each makes values of a batch's last column."""
     key, rows = None, None
-    for batch in batches:
+    for batch in freed(batches):
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             last = part.column(part.num_columns - 1)
@@ -463,7 +464,7 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", w
     else:  # too many to broadcast: each set is sent its own frequent tokens
 
         def unpacked(batches):
-            for batch in batches:
+            for batch in freed(batches):
                 for data in batch.column(0):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.as_buffer(), "<i8"))], names=["token"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.words import WordIds, gathered, run_sums, text_slices
+from inkveil.llm.words import WordIds, freed, gathered, run_sums, text_slices
 from inkveil.session import ship
 
 SPACE = "▁"
@@ -312,7 +312,7 @@ def encode_texts(df: DataFrame, model: Callable[[], str], text: str = "text", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model())
         where = names.index(text)
-        for batch in batches:
+        for batch in freed(batches):
             for i, n in text_slices(batch.column(where)):
                 part = batch.slice(i, n)
                 texts = part.column(where)
@@ -334,7 +334,7 @@ def piece_digests(df: DataFrame, model: Callable[[], str], text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model())
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in freed(batches):
             for i, n in text_slices(batch.column(1)):
                 part = batch.slice(i, n)
                 texts = part.column(1).fill_null("")

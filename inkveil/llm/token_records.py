@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.words import WordIds, gathered, run_sums, text_slices
+from inkveil.llm.words import WordIds, freed, gathered, run_sums, text_slices
 from inkveil.session import Scratch, ship
 
 #: The constant that masked checksums add (fixed value of the record format).
@@ -158,7 +158,7 @@ def _write(tokenizer: Callable[[], str], folder: str, end_id: int | None):
         code, at, tokens, index = encoder(tokenizer()), 0, 0, []
         end = np.array([] if end_id is None else [end_id], np.int32)
         with files.open_output_stream(f"{own}.rec") as out:
-            for batch in batches:
+            for batch in freed(batches):
                 for i, n in text_slices(batch.column(1)):
                     part = batch.slice(i, n)
                     ids, edges = code.encode(part.column(1))

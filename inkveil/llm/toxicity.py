@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkveil.llm.words import freed
 from inkveil.session import ship
 
 #: Most labelled rows that the model is fitted on; they are those with the smallest hashes of their keys.
@@ -39,7 +40,7 @@ TELLING = 4.0
 #: Rows whose chance of a grade of 1 or more exceeds this are rejected.
 REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Rows that a step of the fit turns into floating point at a time.
 BLOCK = 1024
 
@@ -125,13 +126,13 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, levels: int = 2, ridge: float
     column = np.full(DIMENSIONS, -1)
     column[used] = np.arange(len(used))
     n = len(used)
-    x = np.zeros((len(rows), n), np.uint8)  # a feature counts four times at most
+    x = np.zeros((len(rows), n), np.uint8)  # no text has a feature as often as this type ends
     for i in range(0, len(rows), BLOCK):
         of, at = block(i)
         at = column[at]
         count = np.zeros((min(BLOCK, len(rows) - i), n), np.int32)
         np.add.at(count, (of[at >= 0], at[at >= 0]), 1)
-        x[i : i + BLOCK] = np.minimum(count, 4)
+        x[i : i + BLOCK] = np.minimum(count, 255)
     above = grade[:, None] >= np.arange(1, levels + 1)
     weight = np.where(bad, min(HEAVIER, max(1.0, ng / nb)), 1.0)
     penalty = np.r_[ridge * TELLING / z[used], np.full(levels, 1e-6)]  # the surer the difference, the smaller
@@ -221,7 +222,7 @@ def grade_toxicity(df: DataFrame, model: Ordinal, text: str = "text", reject: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in freed(batches):
             p = own.chances(np.array([own.margin(t) for t in batch.column(where).to_pylist()], float))
             level = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
             more = [pa.array(np.round(p.sum(1), 6)), pa.array(np.round(p[:, 0], 6)), pa.array(level.argmax(1), pa.int32()), pa.array(p[:, 0] > reject)]

@@ -12,6 +12,12 @@ import pyarrow.compute as pc
 TEXT_BYTES, REMEMBERED = 4 << 20, 300_000
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind the last the worker gives back what Arrow holds in reserve, as it stays alive for later stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(texts: pa.Array, most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of texts that together hold no more than so many bytes, or one text."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
