@@ -88,7 +88,7 @@ def audio_columns(df: DataFrame, text: str = "text", key: str = "doc_id", keep_m
 
     Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, times, codes (arrays
     of int), and media (binary). Null texts count as empty: one frame of bytes 255. Texts that repeat give equal
-    rows. Other columns of df are left out.
+    rows. Other columns of df are left out, so none can clash. Texts are taken whole. An empty table gives an empty result.
     """
     ship(df.sparkSession)
     fields = [("key", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("media", pa.binary())]
@@ -111,6 +111,6 @@ def audio_columns(df: DataFrame, text: str = "text", key: str = "doc_id", keep_m
 
 
 def feature_digest(df: DataFrame) -> DataFrame:
-    """The fingerprint arrays as one string: the SHA-256 of time:code, comma-joined; and how many pairs there are."""
+    """The fingerprint (arrays times and codes) and beside it one string: the SHA-256 of time:code, comma-joined; and how many pairs there are."""
     pairs = F.array_join(F.zip_with("times", "codes", lambda t, c: F.concat_ws(":", t.cast("string"), c.cast("string"))), ",")
-    return df.withColumns({"feature": F.sha2(pairs, 256), "n_pairs": F.size("times").cast("long")}).drop("times", "codes")
+    return df.withColumns({"feature": F.sha2(pairs, 256), "n_pairs": F.size("times").cast("long")})

@@ -17,10 +17,19 @@ INSTRUCTIONS = ("system",)
 BLOCK = 256
 
 
+#: The beginning of the marks that part turns (a fixed value of the format), and what stands for it in names and texts.
+MARK, SHOWN = "<|im_", "<| im_"
+
+
+def harmless(text: Column) -> Column:
+    """A text in which no mark can begin, so that nobody's words can end a turn or begin another's."""
+    return F.replace(text, F.lit(MARK), F.lit(SHOWN))
+
+
 def segment(role: Column, name: Column, text: Column) -> tuple[Column, Column, Column]:
     """What stands before a turn's text, the text, and what stands behind it."""
-    head = F.concat(F.lit("<|im_start|>"), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    return head, F.coalesce(text, F.lit("")), F.lit("<|im_end|>\n")
+    head = F.concat(F.lit("<|im_start|>"), role, F.coalesce(F.concat(F.lit(" name="), F.translate(harmless(name), "\n\r", "  ")), F.lit("")), F.lit("\n"))
+    return head, harmless(F.coalesce(text, F.lit(""))), F.lit("<|im_end|>\n")
 
 
 def rotate_perspectives(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
@@ -32,7 +41,8 @@ def rotate_perspectives(df: DataFrame, conversation: str = "conv_id", turn: str
     place of its words and the closing mark, else null. Instructions stay as they are and are no perspective. Turns
     are ordered by turn (null first), then by speaker and text; rows that repeat stay. A null speaker is no
     participant and is rendered as a user without a name, a null text as an empty one; a null conversation is left
-    out, as nobody can tell which turns belong together. An empty table gives an empty result.
+    out, as nobody can tell which turns belong together. The beginning of a mark in a text or name is written with a space,
+    line ends in names too. Other columns of df are left out, so none can clash. An empty table gives an empty result.
     """
     rows = df.select(F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(speaker).cast("string").alias("role"), F.col(text).cast("string").alias("text")).filter("conv_id is not null")
     heads = rows.filter(F.col("role").isNotNull() & ~F.col("role").isin(*INSTRUCTIONS)).groupBy("conv_id", F.col("role").alias("perspective")).agg(F.lit(1).alias("_")).drop("_")

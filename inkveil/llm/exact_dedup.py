@@ -1,8 +1,8 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
 A text is cut where its content says so (three letters of a fixed class in a row), so equal passages give equal
-chunks wherever they stand. Chunks become identifiers: a 64-bit hash, verified over all chunks with that hash by
-their SHA-256 digests; where a hash stands for two different chunks, each of them gets a number of its own. A
+chunks wherever they stand. Chunks become identifiers: a 64-bit hash, verified over all chunks by their SHA-256 digests;
+if some hash stands for two different chunks, the digests are the identifiers instead. A
 document is then the ordered list of its identifiers, and only these lists (eight bytes a chunk) are shuffled.
 """
 
@@ -27,15 +27,14 @@ def chunks(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Co
 
 
 def clashes(hashed: DataFrame) -> DataFrame:
-    """Hashes that stand for more than one chunk: (hash, digest, variant), for each of their chunks. Usually empty.
+    """Hashes that stand for more than one chunk: (hash, n). Usually none.
 
     hashed has an array column chunks. Each chunk sends its hash and digest, never its text; equal chunks are
     combined before the shuffle.
     """
     each = hashed.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("hash"), F.unhex(F.sha2("chunk", 256)).alias("digest"))
     known = each.groupBy("hash", "digest").agg(F.lit(1).alias("one"))
-    several = known.groupBy("hash").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("digest")).alias("digests")).filter("n > 1")
-    return several.select("hash", F.posexplode("digests").alias("variant", "digest"))
+    return known.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", shortest: int = SHORTEST, longest: int = LONGEST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -52,14 +51,9 @@ def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", shorte
     rows = df.select(F.struct(*df.columns).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     cut = rows.withColumn("chunks", chunks(F.col("_text"), shortest, longest))
     scratch = Scratch(df.sparkSession, "exact-dedup")
-    bad = scratch.save(clashes(cut.select("chunks")), "clashes")
-    if bad.isEmpty():
-        recipe = F.transform("chunks", lambda c: F.xxhash64(c))
-    else:
-        # one row: as large as the clashes of a 64-bit hash, of which there are about n * n / 2**65 among n chunks
-        one = bad.agg(F.map_from_entries(F.collect_list(F.struct(F.hex("digest").alias("k"), F.col("variant").cast("long").alias("v")))).alias("variants"))
-        cut = cut.crossJoin(F.broadcast(one))
-        recipe = F.flatten(F.transform("chunks", lambda c: F.array(F.xxhash64(c), F.coalesce(F.try_element_at("variants", F.upper(F.sha2(c, 256))), F.lit(0).cast("long")))))
+    # identifiers are hashes as long as each stands for one chunk; else, for all chunks, their digests
+    sure = clashes(cut.select("chunks")).isEmpty()
+    recipe = F.transform("chunks", lambda c: F.xxhash64(c)) if sure else F.transform("chunks", lambda c: F.sha2(c, 256))
     tie = F.struct(F.col(f"_row.`{order}`").alias("id"), F.xxhash64(*[F.col(f"_row.`{c}`") for c in (order, *mine)]).alias("h"), F.monotonically_increasing_id().alias("n"))
     listed = cut.select("_row", F.sha2("_text", 256).alias("text_sha256"), recipe.alias("_recipe"), tie.alias("_tie"))
     listed = scratch.save(listed.select("_recipe", "_tie", "text_sha256", *([] if _slim(df, text, order) else ["_row"])), "recipes")
@@ -67,7 +61,7 @@ def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", shorte
     # single texts need no partner: only groups of several are joined back
     repeated = groups.filter("group_size > 1").select(F.xxhash64("_recipe").alias("_key"), F.col("_recipe").alias("_theirs"), "_keep", "group_size")
     repeated = scratch.save(repeated, "repeated")
-    weight = repeated.agg(F.coalesce(F.sum(8 * F.size("_theirs") + 100), F.lit(0))).first()[0]
+    weight = repeated.agg(F.coalesce(F.sum((8 if sure else 80) * F.size("_theirs") + 100), F.lit(0))).first()[0]
     if weight <= broadcast_bytes:
         repeated = F.broadcast(repeated)
     joined = listed.withColumn("_mine", F.xxhash64("_recipe")).join(repeated, (F.col("_mine") == F.col("_key")) & (F.col("_recipe") == F.col("_theirs")), "left")

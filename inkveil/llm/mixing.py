@@ -4,8 +4,8 @@ Every source gets a target in words. The share target / size is what each of its
 whole part is copied outright, the fraction is a probability. Pivotal rounding pairs two rows with fractional
 probabilities and moves words from one to the other, at random but without changing any row's chance, until one of
 the two is 0 or 1. The expected words of a pair stay what they were, so the words taken from a source differ from its
-target only by the one row that is left in the end and is drawn by its probability. Rows meet in the order of their
-sizes, largest first, so the row that is left is a small one.
+target only by the one row that is left in the end and is drawn by its probability: by less than its size. Rows meet in
+the order of their sizes, largest first, so that large ones meet many others; with few rows the one left may be large.
 
 The pairs form a reduction tree: the rows of a source are dealt to small groups by a hash; each group leaves at most
 one row unresolved, and those meet in the next level's groups, of bounded size too, until a source has one left. No
@@ -136,7 +136,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     is the source's target in words, copies how often the mix takes the row (at most ceiling) and taken = copies *
     size. Rows without words take the whole part of their source's share. Rows that repeat key and size are rounded each
     on its own; a null key is a key like any other. An empty table gives an empty result. The sources (never rows)
-    come to the driver, with one number each.
+    come to the driver, with one number each. Texts are counted whole. Columns of df other than text, source and key are left out, so none can clash.
     """
     spark = df.sparkSession
     ship(spark)

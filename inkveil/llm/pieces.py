@@ -300,8 +300,8 @@ def pieces(path: str) -> Pieces:
 def encode_texts(df: DataFrame, model: Callable[[], str], text: str = "text", out: str = "piece_ids", decoded: str | None = None) -> DataFrame:
     """df with the ids of each whole text (array<int>), and the text decoded from them again if decoded names a column.
 
-    model gives the model file's path on the executor. A null text has null ids; an empty one has none. Columns of
-    df with the new names are replaced.
+    model gives the model file's path on the executor. A null text has null ids; an empty one has none. Texts are
+    encoded whole, rows that repeat each. Columns of df with the new names are replaced. An empty table gives an empty result.
     """
     ship(df.sparkSession)
     df = df.drop(out, *([decoded] if decoded else []))
@@ -328,7 +328,10 @@ def encode_texts(df: DataFrame, model: Callable[[], str], text: str = "text", ou
 
 
 def piece_digests(df: DataFrame, model: Callable[[], str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of df: key, n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers), text_sha256 of what the ids decode to, and whether that is the text again."""
+    """Per row of df: key, n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers), text_sha256 of what the ids decode to, and whether that is the text again.
+
+    Null texts count as empty. Rows that repeat give equal rows; other columns of df are left out. An empty table gives an empty result.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,9 +97,9 @@ named AS (
   SELECT *, CASE WHEN told THEN role WHEN mine THEN 'assistant' ELSE 'user' END AS chat_role,
          CASE WHEN NOT told AND NOT mine THEN role END AS name FROM seen),
 cut AS (
-  SELECT *, '<|im_start|>' || chat_role || coalesce(' name=' || name, '') || chr(10) AS head FROM named),
+  SELECT *, '<|im_start|>' || chat_role || coalesce(' name=' || translate(replace(name, '<|im_', '<| im_'), chr(10) || chr(13), '  '), '') || chr(10) AS head FROM named),
 sized AS (
-  SELECT *, head || coalesce(text, '') || '<|im_end|>' || chr(10) AS segment FROM cut),
+  SELECT *, head || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS segment FROM cut),
 placed AS (
   SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS char_end FROM sized)

@@ -242,7 +242,11 @@ def read_records(spark, folder: str, shards: list[tuple[int, int, int]], key: st
 
 
 def token_records(df: DataFrame, tokenizer: Callable[[], str], folder: str | None = None, **options) -> DataFrame:
-    """Write df's token ids as records and read them back; folder defaults to one in the shared folder."""
+    """Write df's token ids as records and read them back; folder defaults to one in the shared folder.
+
+    Null texts count as empty, rows that repeat or share a key are records of their own, other columns of df are left out. An
+    empty table has no files and gives an empty result.
+    """
     folder = folder or Scratch(df.sparkSession, "token-records").path("shards")
     shards = write_records(df, tokenizer, folder, **options)
     return read_records(df.sparkSession, folder, shards, options.get("key", "doc_id"), with_ids=False)

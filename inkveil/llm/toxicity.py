@@ -209,8 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 def grade_toxicity(df: DataFrame, model: Ordinal, text: str = "text", reject: float = REJECT) -> DataFrame:
     """df's rows and columns, and severity (expected grade), p_toxic, grade (the most likely) and rejected.
 
-    Null and empty texts have no features and are never rejected by the thresholds of a fitted model. Columns of df
-    with these names are replaced.
+    Null and empty texts have no features and are never rejected by the thresholds of a fitted model. Texts are read whole;
+    rows that repeat are graded each. Columns of df with these names are replaced. An empty table gives an empty result.
     """
     ship(df.sparkSession)
     new = ["severity", "p_toxic", "grade", "rejected"]
