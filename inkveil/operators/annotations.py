@@ -56,3 +56,32 @@ def detected_regions(items: DataFrame, detector: Callable[[pd.DataFrame, int], p
 
     boxes = items.select(key, "page", "item_idx", *_ITEM).filter(F.length(F.trim("str")) > 0).groupBy(key, "page").applyInPandas(page, schema)
     return boxes.withColumns({"y": F.lit(height) - F.col("y") - F.col("height"), "label": F.lit(label).cast("string")})
+
+
+#: Pages of a document and characters of a page that a model is asked about, and the shortest text it is asked about (limits of the interface).
+MODEL_PAGES, MODEL_CHARS, MODEL_LEAST = 12, 6000, 3
+
+
+def model_entities(texts: DataFrame, model: Callable[[str], list[tuple[str, str]]], key: str = "doc_id") -> DataFrame:
+    """What a model of the caller's finds in page texts: key, page, seq, type, text, as detect.supplied() takes it.
+
+    The model gets one page's text and gives (type, text) pairs. A page at which it fails gives nothing and stops no other;
+    texts of one character are left out.
+    """
+    rows = texts.filter(F.col("page") <= MODEL_PAGES).select(key, "page", F.substring("text", 1, MODEL_CHARS).alias("text")).filter(F.length("text") >= MODEL_LEAST)
+    schema = T.StructType([rows.schema[key], rows.schema["page"], T.StructField("seq", T.LongType()), T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
+    names = schema.names
+    ship(texts.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, page, text in zip(batch[key], batch["page"], batch["text"], strict=True):
+                try:
+                    found = list(model(text))
+                except Exception:  # noqa: BLE001  (a model may fail in any way)
+                    continue
+                out += [(k, page, n, kind, value) for n, (kind, value) in enumerate(found) if len(value) > 1]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, schema)

@@ -257,3 +257,39 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("strip", "--output", str(tmp_path / "t")) == 0
     capsys.readouterr()
     assert main(["verify", str(tmp_path / "t")], spark) == 0
+
+
+def test_requests(spark):
+    from inkveil.operators import annotations, detect, routes
+
+    docs = frame(spark, ssn=SSN, image=SCANNED, bad=INVALID)
+    scanned = files.scan(docs).persist()
+    model = lambda text: [("person", "Ann Lee"), ("person", "x")] if "SSN" in text else 1 / 0
+    outside = detect.supplied(annotations.model_entities(files.page_texts(files.text_items(scanned)), model))
+    found, about = routes.detected(scanned, supplied=outside)
+    assert sorted((r.doc_id, r.type, r["count"], r.tier) for r in found.collect()) == [("ssn", "person", 1, "ai"), ("ssn", "ssn", 1, "regex")]
+    assert {r.doc_id: (r.status, r.total, r.scanned) for r in about.collect()} == {"ssn": ("ok", 2, True), "image": ("ok", 0, True), "bad": ("unreadable", 0, True)}
+    out = routes.redacted(docs, scanned, json.dumps({"groups": [{"values": ["123-45-6789", " "], "code": "(b)(6)"}], "strings": ["SSN"]}))
+    rows = {r.doc_id: r for r in out["response"].collect()}
+    assert rows["ssn"].verified and rows["ssn"].redacted_count == 2 and not rows["bad"].verified and rows["bad"].error
+    import base64
+
+    assert texts(base64.b64decode(rows["ssn"].encoded)) == [["                "]]
+    assert {r.doc_id: r.clean for r in routes.audited(docs, scanned, True)[1].collect()} == {"ssn": True, "image": True, "bad": False}
+
+
+def test_sinks_and_uploads(spark, tmp_path):
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a.txt", bytearray(b"one"), 3), ("b.txt", bytearray(b"%PDF-1"), 5 << 20), ("c.txt", bytearray(b"%PDF-1"), 6), ("d.txt", None, 0)], "name string, content binary, n long")
+    assert sorted((r.name, r.s) for r in rows.select("name", files.upload_status(F.col("n"), F.col("content")).alias("s")).collect()) == [("a.txt", 415), ("b.txt", 413), ("c.txt", 200), ("d.txt", 415)]
+    assert sum(r.n_files for r in files.write_zips(rows.repartition(2), str(tmp_path / "z")).collect()) == 3
+    held = {n: z.read(n) for p in (tmp_path / "z").glob("*.zip") for z in [zipfile.ZipFile(p)] for n in z.namelist()}
+    assert held == {"a.txt": b"one", "b.txt": b"%PDF-1", "c.txt": b"%PDF-1"}
+    assert files.write_files(rows, str(tmp_path / "w")).count() == 4 and (tmp_path / "w" / "a.txt").read_bytes() == b"one"
+    (tmp_path / "p").mkdir()
+    for n in ("x.pdf", "y.pdf"):
+        (tmp_path / "p" / n).write_bytes(EMPTY)
+    assert sorted((r.name, r.n_bytes) for r in files.read_files(spark, str(tmp_path / "p")).collect()) == [("x.pdf", len(EMPTY)), ("y.pdf", len(EMPTY))]

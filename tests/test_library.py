@@ -52,6 +52,48 @@ CASES = [
 ]
 
 
+GOLDEN = {
+    "ssn": (["123-45-6789"], "a 123-45-6789 b x123-45-6789 123-45-67890 é123-45-6789", 2),
+    "phone": (["+1 (555) 867-5309", "555.867.5309", "5558675309"], "+1 (555) 867-5309 or 555.867.5309, 5558675309 and 555-86-5309", 3),
+    "email": (["a.b+c@sub.example.org"], "mail a.b+c@sub.example.org, not a@b or @c.de", 1),
+    "credit-card": (["4111 1111 1111 1111", "5105-1051-0510-5100", "6011000000000004"], "4111 1111 1111 1111 5105-1051-0510-5100 6011000000000004 7111111111111111", 3),
+    "ip-address": (["999.1.22.3"], "at 999.1.22.3 and 1.2.3", 1),
+    "date": (["1/2/2024", "12-31-99", "sept. 5, 2020", "MAY 1 1999"], "1/2/2024 12-31-99 sept. 5, 2020 MAY 1 1999 Foo 1, 2000", 4),
+    "name": (["John Smith"], "saw John Smith there. Jane Roe left", 1),
+    "attorney-client-marker": (["Attorney–Client Privilege", "work  product", "PRIVILEGED AND CONFIDENTIAL"], "Attorney–Client Privilege, work  product; PRIVILEGED AND CONFIDENTIAL; privilege", 3),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(GOLDEN))
+def test_golden_matches(spark, kind):
+    values, text, n = GOLDEN[kind]
+    found = [r.value for r in detect.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), entity_patterns([kind])).orderBy("start_off").collect()]
+    assert len(found) == n and set(found) == set(values) if kind != "ssn" else found == values * 2
+
+
+def test_golden_widths(spark):
+    from inkveil.functions.geometry import text_moments, text_units
+
+    df = spark.createDataFrame([("Ab 1.",)], "t string")
+    want = {"Helvetica": [667, 556, 278, 556, 278], "Times-Roman": [722, 500, 250, 500, 250], "Courier": [600] * 5, "g_d0_Times-Bold": [722, 500, 250, 500, 250], "Other": [556] * 5}
+    for name, widths in want.items():
+        first, second = text_moments(df.t, name)
+        assert tuple(df.select(text_units(df.t, name), first, second).first()) == (sum(widths), sum(widths), sum(w * w for w in widths)), name
+
+
+def test_handed_and_typed_patterns():
+    from inkveil.functions.patterns import default_code, handed_patterns, loose_pattern, selected_types
+
+    got = handed_patterns('{"groups": [{"values": ["a.b", "a.b", " ", 3], "code": "(b)(6)"}, {"values": ["x"], "label": "L"}], "strings": ["/y+/i"]}')
+    assert [(p.regex, p.label, p.code) for p in got] == [(r"a\.b", "(b)(6)", "(b)(6)"), ("x", "L", None), ("(?i)y+", "REDACTED", None)]
+    assert len(handed_patterns('{"strings": [' + ",".join(f'"v{k}"' for k in range(700)) + "]}")) == 500
+    assert loose_pattern("a.b") == r"(?i)a\.b" and loose_pattern("/(/") is None and loose_pattern(" ") is None
+    assert (default_code("attorney-client-marker"), default_code("person")) == ("(b)(5)", "(b)(6)")
+    assert selected_types(" SSN, email") == ["ssn", "email"] and len(selected_types(None)) == 8
+    with pytest.raises(ValueError, match="unknown"):
+        selected_types("ssn,nothing")
+
+
 def test_patterns_and_offsets(spark):
     for kind, text, n in CASES:
         found = detect.matches(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), entity_patterns([kind])).collect()
