@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Smallest width and height of a bar for verifying and for auditing, the audit's inset, and the padding of regions.
@@ -36,26 +36,46 @@ def font(name: str | None) -> tuple[dict[str, int], int]:
     return FONTS.get(name) or FONTS.get(name.rsplit("_", 1)[-1]) or ({}, FALLBACK)
 
 
-def text_moments(text: Column, name: str = "Helvetica") -> tuple[Column, Column]:
-    """Sums of the advance widths of a text's characters and of their squares (longs, in thousandths).
+def _kinds(name: str) -> list[int]:
+    """The widths of a font other than its default."""
+    widths, default = font(name)
+    return sorted(set(widths.values()) - {default})
 
-    One pass spells every width as a letter of its own, and the letters are counted, so it stays in generated code.
-    """
+
+def width_coded(text: Column, name: str) -> Column:
+    """A text with each character spelled as a letter for its width in a font."""
     widths, default = font(name)
-    kinds = sorted(set(widths.values()) - {default})
-    length = F.length(text).cast("long")
-    if not kinds:
-        return length * default, length * default**2
-    spelled = "".join(chr(0xE000 + k) for k in range(len(kinds) + 1))  # private use: no text of a standard font has them
-    letters = "".join(widths) + spelled
-    coded = F.translate(text, letters, "".join(spelled[kinds.index(w)] if w != default else spelled[-1] for w in widths.values()) + spelled[-1] * len(spelled))
-    counts = [(length - F.length(F.replace(coded, F.lit(c), F.lit(""))), w) for c, w in zip(spelled, kinds, strict=False)]
+    kinds = _kinds(name)
+    spelled = "".join(chr(1 + k) for k in range(len(kinds) + 1))  # control characters, whose own width is the default
+    return F.translate(text, "".join(widths) + spelled, "".join(spelled[kinds.index(w)] if w != default else spelled[-1] for w in widths.values()) + spelled[-1] * len(spelled))
+
+
+def coded_moments(coded: Column, name: str) -> tuple[Column, Column]:
+    """Sums of the advance widths and of their squares, from a text that width_coded() spelled."""
+    _, default = font(name)
+    length = F.length(coded).cast("long")
     first, second = length * default, length * default**2
-    for n, w in counts:
+    for k, w in enumerate(_kinds(name)):
+        n = length - F.length(F.replace(coded, F.lit(chr(1 + k)), F.lit("")))
         first, second = first + n * (w - default), second + n * (w**2 - default**2)
     return first, second
 
 
+def text_moments(text: Column, name: str = "Helvetica") -> tuple[Column, Column]:
+    """Sums of the advance widths of a text's characters and of their squares (longs, in thousandths).
+
+    One pass spells every width as a letter of its own, and the letters are counted, so it stays in generated code. That pass is
+    made once where one projection has the sums; with_units() holds it apart from later expressions too.
+    """
+    return coded_moments(width_coded(text, name) if _kinds(name) else text, name)
+
+
+def with_units(df: DataFrame, text: str, name: str = "Helvetica", units: str = "units") -> DataFrame:
+    """df with the sum of a text's advances. Generated, not projected: conditions of joins that name it don't work it out again."""
+    held = df.select("*", F.inline(F.array(F.struct(width_coded(F.col(text), name).alias("_coded")))))
+    return held.select("*", F.inline(F.array(F.struct(coded_moments(F.col("_coded"), name)[0].alias(units))))).drop("_coded")
+
+
 def text_units(text: Column, name: str = "Helvetica") -> Column:
     """Sum of the advance widths of a text's characters (long, in thousandths)."""
     return text_moments(text, name)[0]

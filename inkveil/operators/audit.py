@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkveil.functions.geometry import FALLBACK, FONTS, canonical, text_moments
+from inkveil.functions.geometry import FALLBACK, FONTS, coded_moments, width_coded
 from inkveil.functions.patterns import METADATA, java
 from inkveil.operators.annotations import MARK
 from inkveil.operators.redact import greedy_text_under_box
@@ -100,17 +100,20 @@ def expected_advances(items: DataFrame, metrics: DataFrame | None = None, key: s
 
     metrics are those of embedded fonts (key, font, char, advance); an item whose characters they all have goes by them.
     """
-    standard = resolved_font(F.col("font"))
-    tables = {}
+    tables: dict[tuple, list[str]] = {}
     for name, (widths, default) in FONTS.items():
         tables.setdefault((id(widths), default), []).append(name)
     n = F.length("str").cast("long")
-    units, squares = n * FALLBACK, n * FALLBACK**2
+    coded, units, squares = F.col("str"), n * FALLBACK, n * FALLBACK**2
     for names in tables.values():
-        first, second = text_moments(F.col("str"), names[0])
-        units, squares = F.when(standard.isin(*names), first).otherwise(units), F.when(standard.isin(*names), second).otherwise(squares)
-    # generated, not projected: so the sums are made once a row, however often later expressions name them
-    out = items.select("*", F.inline(F.array(F.struct(units.cast("double").alias("units"), squares.cast("double").alias("squares")))))
+        own = F.col("_font").isin(*names)
+        first, second = coded_moments(F.col("_coded"), names[0])
+        coded = F.when(own, width_coded(F.col("str"), names[0])).otherwise(coded)
+        units, squares = F.when(own, first).otherwise(units), F.when(own, second).otherwise(squares)
+    # generated, not projected: so texts are spelled and sums made once a row, however often later expressions name them
+    out = items.withColumn("_font", resolved_font(F.col("font")))
+    out = out.select("*", F.inline(F.array(F.struct(coded.alias("_coded")))))
+    out = out.select("*", F.inline(F.array(F.struct(units.cast("double").alias("units"), squares.cast("double").alias("squares"))))).drop("_font", "_coded")
     if metrics is None:
         return out
     fonts = metrics.groupBy(key, "font").agg(F.map_from_entries(F.collect_list(F.struct("char", "advance"))).alias("advances"))  # no more than a font has characters

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkveil.functions.geometry import PADDING, text_units
+from inkveil.functions.geometry import PADDING, with_units
 
 #: Lines on a page, the page's height, and where lines stand.
 LINES, HEIGHT, TOP, PITCH, LEFT, SIZE = 50, 792.0, 742.0, 14.0, 72.0, 10.0
@@ -14,11 +14,13 @@ LINES, HEIGHT, TOP, PITCH, LEFT, SIZE = 50, 792.0, 742.0, 14.0, 72.0, 10.0
 TOLERANCE = 2.0
 
 
-def text_items(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One item for each line that is not blank: key, page, item_idx, str, x, y, width, height."""
+def text_items(df: DataFrame, text: str = "text", key: str = "doc_id", widths: bool = True) -> DataFrame:
+    """One item for each line that is not blank: key, page, item_idx, str, x, y, width, height. Without widths they are 0, which is quicker."""
     lines = df.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n", "str"))
-    width = text_units(F.col("str")).cast("double") / 1000 * SIZE
-    return lines.filter(F.length(F.trim("str")) > 0).select(
+    lines = lines.filter(F.length(F.trim("str")) > 0)
+    lines = with_units(lines, "str") if widths else lines.withColumn("units", F.lit(0))
+    width = F.col("units").cast("double") / 1000 * SIZE
+    return lines.select(
         key, (F.floor(F.col("n") / LINES) + 1).cast("int").alias("page"), F.col("n").cast("long").alias("item_idx"), "str",
         F.lit(LEFT).alias("x"), (F.lit(TOP) - PITCH * (F.col("n") % LINES)).alias("y"), width.alias("width"), F.lit(SIZE).alias("height"),
     )

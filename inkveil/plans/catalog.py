@@ -29,6 +29,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.text_items(_docs(spark, sf_dir))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items, for queries that need no widths."""
+    return layout.text_items(_docs(spark, sf_dir), widths=False)
+
+
 def _bars(items: DataFrame) -> DataFrame:
     """Derived bars: under every seventh line; shifted off the line, or too flat, on some."""
     n = F.col("item_idx")
@@ -92,7 +97,7 @@ def text_items(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    return layout.page_texts(layout.placed_items(_items(spark, sf_dir)))
+    return layout.page_texts(layout.placed_items(_lines(spark, sf_dir)))
 
 
 def match_regions(spark, sf_dir):
@@ -103,7 +108,7 @@ def match_regions(spark, sf_dir):
 
 
 def normalize_regions(spark, sf_dir):
-    return layout.normalized(_regions(_items(spark, sf_dir))).select("doc_id", "page", "region_idx", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return layout.normalized(_regions(_lines(spark, sf_dir))).select("doc_id", "page", "region_idx", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def regions_with_text(spark, sf_dir):
@@ -117,7 +122,7 @@ def visual_only(spark, sf_dir):
 
 
 def redaction_counts(spark, sf_dir):
-    out = redact.redaction_summary(_docs(spark, sf_dir), _regions(_items(spark, sf_dir)))
+    out = redact.redaction_summary(_docs(spark, sf_dir), _regions(_lines(spark, sf_dir)))
     return out.select("doc_id", F.col("redacted_count").cast("long").alias("redacted_count"), F.array_join(F.col("pages_affected").cast("array<string>"), ",").alias("pages_affected"))
 
 

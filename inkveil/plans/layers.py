@@ -26,7 +26,7 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 
 def _halves(spark, sf_dir) -> DataFrame:
     """Every line as two items that stand side by side, the right one a little lower."""
-    items = _items(spark, sf_dir)
+    items = c._lines(spark, sf_dir)
     cut = F.floor(F.length("str") / 2).cast("int")
     left = items.select("doc_id", "page", (F.col("item_idx") * 2).alias("item_idx"), F.substring("str", F.lit(1), cut).alias("str"), "x", "y", "width", "height")
     right = items.select("doc_id", "page", (F.col("item_idx") * 2 + 1).alias("item_idx"), F.substring("str", cut + 1, F.length("str")).alias("str"), (F.col("x") + 300.0).alias("x"), (F.col("y") - 1.5).alias("y"), "width", "height")
@@ -43,26 +43,26 @@ def halved_page_text(spark, sf_dir):
 
 def shown_page_text(spark, sf_dir):
     """Texts in the order of the items, whatever their places."""
-    items = _items(spark, sf_dir).withColumn("item_idx", -F.col("item_idx"))
+    items = c._lines(spark, sf_dir).withColumn("item_idx", -F.col("item_idx"))
     return files.page_texts(items)
 
 
 def detect_types(spark, sf_dir):
     """What a detection reports of each document: values in the order seen, samples, pages."""
-    texts = files.page_texts(_items(spark, sf_dir))
+    texts = files.page_texts(c._lines(spark, sf_dir))
     found = detect.first_seen(detect.matches(texts, entity_patterns(SCANNED), keys=("doc_id", "page")))
     join = lambda name: F.array_join(F.col(name).cast("array<string>"), "|").alias(name)
     return found.select("doc_id", "type", "count", join("samples"), join("values"), join("pages"))
 
 
 def detect_total(spark, sf_dir):
-    texts = files.page_texts(_items(spark, sf_dir))
+    texts = files.page_texts(c._lines(spark, sf_dir))
     return detect.total(detect.first_seen(detect.matches(texts, entity_patterns(SCANNED), keys=("doc_id", "page"))))
 
 
 def detect_first_pages(spark, sf_dir):
     """Patterns that are sought on first pages only, others everywhere."""
-    texts = layout.page_texts(layout.placed_items(_items(spark, sf_dir)))
+    texts = layout.page_texts(layout.placed_items(c._lines(spark, sf_dir)))
     kinds = [replace(p, pages=(1,)) if p.name == "phone" else p for p in entity_patterns(["phone", "email"])]
     return detect.matches(texts, kinds, keys=("doc_id", "page")).groupBy("page", "type").agg(F.count("*").alias("n"))
 
@@ -91,13 +91,13 @@ _PAGES = "pages2 AS (SELECT doc_id, page, (doc_id + page) % 3 = 0 AS has_image F
 
 
 def verify_warnings(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = c._lines(spark, sf_dir)
     return redact.verify_warnings(_pages(items), items, c._bars(items))
 
 
 def guarded_counts(spark, sf_dir):
     """Regions on pages beyond the last are skipped."""
-    items = _items(spark, sf_dir)
+    items = c._lines(spark, sf_dir)
     regions = c._regions(items).withColumn("page", F.when(F.col("region_idx") % 2 == 0, F.col("page")).otherwise(F.col("page") + 1))
     out = redact.redaction_summary(c._docs(spark, sf_dir), regions, pages=items.select("doc_id", "page"))
     return out.select("doc_id", F.col("redacted_count").cast("long").alias("redacted_count"), F.array_join(F.col("pages_affected").cast("array<string>"), ",").alias("pages_affected"))
@@ -119,21 +119,21 @@ _CODED = "coded AS (SELECT *, CASE WHEN rect_idx % 3 <> 1 THEN 'a label of some
 
 
 def region_labels(spark, sf_dir):
-    out = redact.labelled_bars(_coded(layout.normalized(c._regions(_items(spark, sf_dir)))))
+    out = redact.labelled_bars(_coded(layout.normalized(c._regions(c._lines(spark, sf_dir)))))
     return _round(out, "size", "text_x", "text_y").select("doc_id", "page", "region_idx", "text", "size", "text_x", "text_y")
 
 
 def manifest_rows(spark, sf_dir):
     docs = c._docs(spark, sf_dir)
     hashes = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256_before"), F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit("#")), 256).alias("sha256_after"))
-    log = redact.entries(_coded(layout.normalized(c._regions(_items(spark, sf_dir)))), hashes, redactor="r1", basis_code="(b)(6)", created_at="2024-01-01T00:00:00.000Z")
+    log = redact.entries(_coded(layout.normalized(c._regions(c._lines(spark, sf_dir)))), hashes, redactor="r1", basis_code="(b)(6)", created_at="2024-01-01T00:00:00.000Z")
     whole = redact.manifests(hashes, log)
     each = whole.select("doc_id", "sha256_input", "sha256_output", F.size("entries").cast("long").alias("n_entries"), F.explode_outer("entries").alias("e"))
     return each.select("doc_id", "sha256_input", "sha256_output", "n_entries", "e.page", "e.region_idx", F.round(F.col("e.bbox")[1], 4).alias("y1"), "e.basis_code", "e.basis_text", "e.label", "e.redactor_id", "e.timestamp")
 
 
 def batch_merge(spark, sf_dir):
-    docs, regions = c._docs(spark, sf_dir), c._regions(_items(spark, sf_dir))
+    docs, regions = c._docs(spark, sf_dir), c._regions(c._lines(spark, sf_dir))
     one = redact.redaction_summary(docs, regions.filter("region_idx % 2 = 0"))
     other = redact.redaction_summary(docs.filter("doc_id % 3 > 0"), regions.filter("region_idx % 2 = 1"))
     out = redact.merged(one, other)
