@@ -66,7 +66,7 @@ class Pieces:
         self.cut = re.compile("(?s).+" if glued else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
         #: What the library sets before a text that is not empty.
         self.before = SPACE if names[next(iter(sp.encode("a")), 0)].startswith(SPACE) else ""
-        self.words, self.parts = WordIds(self._fresh), WordIds(self._viterbi)
+        self.words = WordIds(self._fresh)
         #: Whether texts may be cut at single spaces: no piece reaches across one or a line end, and a space stands before a text.
         self.by_runs = not glued and bool(line) and bool(self.before)
 
@@ -217,8 +217,10 @@ class Pieces:
         return self._of_parts([self.cut.findall(w if w[:1] == "\n" else SPACE + w) for w in words])
 
     def _of_parts(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        ids, each = self.parts.ids(pa.array([x for c in cut for x in c], pa.string()))
-        return ids, run_sums(each, np.array([len(c) for c in cut], np.int64))
+        coded = pa.array([x for c in cut for x in c], pa.string()).dictionary_encode()
+        pool, each = self._viterbi(coded.dictionary.to_pylist())
+        own = np.asarray(coded.indices)
+        return gathered(pool, (np.cumsum(each) - each)[own], each[own]), run_sums(each[own], np.array([len(c) for c in cut], np.int64))
 
     def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of words; those of equal length advance together."""

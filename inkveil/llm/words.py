@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,13 +10,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time (one text at least), and words a worker remembers before it starts anew.
-TEXT_BYTES, REMEMBERED = 4 << 20, 300_000
+TEXT_BYTES, REMEMBERED = 4 << 20, 200_000
 
 
 def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; behind the last the worker gives back what Arrow holds in reserve, as it stays alive for later stages."""
+    """The batches; behind the last the worker gives back the memory that Arrow and malloc hold in reserve, as it stays alive for later stages."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def text_slices(texts: pa.Array, most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
