@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         regions = layout.normalized(high.join(given, "page"), F.col("_high")).drop("_high")
         lines, good = _written(documents.redact_files(docs, regions, scanned), docs, args)
     elif args.command == "strip":
-        done = documents.unseal_files(docs).join(docs.select("doc_id", "name"), "doc_id").persist()
+        done = documents.restore_files(docs).join(docs.select("doc_id", "name"), "doc_id").persist()
         files.write_files(done.filter("error is null"), args.output).write.format("noop").mode("overwrite").save()
         shown = done.select("name", "error", "overlays_stripped", "annotations_removed", "prior_revision_recovered", "findings", F.concat(F.lit("<"), F.length("prior_revision"), F.lit(" bytes>")).alias("prior_revision"))
         lines = [json.loads(r[0]) for r in shown.select(F.to_json(F.struct("*"))).toLocalIterator()]

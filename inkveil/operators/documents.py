@@ -17,7 +17,7 @@ from inkveil.functions.content_stream import blank_all, blank_regions, blank_spa
 from inkveil.functions.geometry import AUDIT_BAR, INSET, VERIFY_BAR, font
 from inkveil.functions.patterns import PLAIN_LABEL, Pattern, entity_patterns
 from inkveil.operators import audit as checks
-from inkveil.operators import layout, paths, redact, unseal
+from inkveil.operators import layout, paths, redact, restore
 from inkveil.operators.annotations import MARK
 from inkveil.session import ship
 from inkveil.sources import files
@@ -144,7 +144,7 @@ def without_overlays(data: bytes) -> tuple[bytes, list[dict]]:
             if under:
                 a, b = seen.spans[first][0], seen.spans[last][1]
                 content[a:b], cut = b" " * (b - a), True
-                found.append({"scenario": "A", "page": number, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "recovered_text": " ".join(under), "confidence": unseal.CONFIDENCE["A"]})
+                found.append({"scenario": "A", "page": number, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "recovered_text": " ".join(under), "confidence": restore.CONFIDENCE["A"]})
         if cut:
             _replaced(draft, page, place, bytes(content))
     return (draft.bytes() if found else data), found
@@ -159,7 +159,7 @@ def without_annotations(data: bytes) -> tuple[bytes, list[dict], int]:
         if gone:
             count += len(gone)
             box = [float(file.get(x)) for x in file.get(gone[0].get("Rect")) or [0, 0, 0, 0]]
-            found.append({"scenario": "B", "page": number, **dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)), "recovered_text": None, "confidence": unseal.CONFIDENCE["B"]})
+            found.append({"scenario": "B", "page": number, **dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)), "recovered_text": None, "confidence": restore.CONFIDENCE["B"]})
     return (draft.bytes() if found else data), found, count
 
 
@@ -179,17 +179,17 @@ def annotated(data: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
             continue
         notes, drawn = list(file.get(page.get("Annots")) or []), b""
         for f in own:
-            text = f'[unseal] Recovered text: "{f["recovered_text"]}"' if f.get("recovered_text") else "[unseal] Redaction overlay removed - possible hidden content"
-            x, y = f["x2"] + unseal.NOTE_GAP, (f["y1"] + f["y2"]) / 2
+            text = f'[restore] Recovered text: "{f["recovered_text"]}"' if f.get("recovered_text") else "[restore] Redaction overlay removed - possible hidden content"
+            x, y = f["x2"] + restore.NOTE_GAP, (f["y1"] + f["y2"]) / 2
             drawn += b"q 0 0.7 0 RG 1.5 w " + " ".join(map(pdf.number_text, (f["x1"], f["y1"], f["x2"] - f["x1"], f["y2"] - f["y1"]))).encode() + b" re S Q\n"
-            note = {"Type": pdf.Name("Annot"), "Subtype": pdf.Name("Text"), "Rect": [x, y, x + unseal.NOTE_SIZE, y + unseal.NOTE_SIZE], "Contents": text.encode("latin-1", "replace"), "Name": pdf.Name("Note"), "C": [0, 0.7, 0], "Open": False}
+            note = {"Type": pdf.Name("Annot"), "Subtype": pdf.Name("Text"), "Rect": [x, y, x + restore.NOTE_SIZE, y + restore.NOTE_SIZE], "Contents": text.encode("latin-1", "replace"), "Name": pdf.Name("Note"), "C": [0, 0.7, 0], "Open": False}
             notes.append(draft.add(note))
-            out.append({**f, "scenario": "D", "confidence": unseal.CONFIDENCE["D"]})
+            out.append({**f, "scenario": "D", "confidence": restore.CONFIDENCE["D"]})
         _replaced(draft, page, place, b"q\n" + file.content(page) + b"\nQ\n" + drawn, Annots=notes)
     return (draft.bytes() if out else data), out
 
 
-def unsealed(data: bytes) -> dict:
+def restored(data: bytes) -> dict:
     """Overlays, then marks taken off, notes added; findings, counters, the earlier revision if there is one."""
     work, found = without_overlays(data)
     stripped = len(found)
@@ -197,7 +197,7 @@ def unsealed(data: bytes) -> dict:
     found = found + more
     prior = prior_revision(data)
     if prior is not None:
-        found.append({"scenario": "C", "page": None, "x1": None, "y1": None, "x2": None, "y2": None, "recovered_text": None, "confidence": unseal.CONFIDENCE["C"]})
+        found.append({"scenario": "C", "page": None, "x1": None, "y1": None, "x2": None, "y2": None, "recovered_text": None, "confidence": restore.CONFIDENCE["C"]})
     work, noted = annotated(work, found)
     return {"content": work, "findings": found + noted, "overlays_stripped": stripped, "annotations_removed": removed, "prior_revision_recovered": prior is not None, "prior_revision": prior}
 
@@ -205,7 +205,7 @@ def unsealed(data: bytes) -> dict:
 _FOUND = pa.list_(pa.struct([("scenario", pa.string()), ("page", pa.int32()), *[(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")], ("recovered_text", pa.string()), ("confidence", pa.float64())]))
 
 
-def unseal_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def restore_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, content (what is left), findings, overlays_stripped, annotations_removed, prior_revision_recovered, prior_revision, error."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col("content"))
@@ -217,7 +217,7 @@ def unseal_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 part, out = batch.slice(at, files.ROWS), []
                 for data in part.column(1):
                     try:
-                        out.append(unsealed(data.as_buffer().to_pybytes()))
+                        out.append(restored(data.as_buffer().to_pybytes()))
                     except Exception as e:  # noqa: BLE001  (one bad document doesn't stop the others)
                         out.append({"error": f"{type(e).__name__}: {e}"[:500]})
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o.get(n) for o in out], t) for n, t in kinds]], names=["_key", *[n for n, _ in kinds]])

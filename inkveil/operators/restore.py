@@ -1,6 +1,6 @@
 """Recovering what false redactions hide: overlays (A), marks that were never applied (B), earlier revisions (C), and notes where text was found (D).
 
-On the text layer these are tables; documents.unsealed() does the same to files.
+On the text layer these are tables; documents.restored() does the same to files.
 """
 
 from __future__ import annotations
@@ -45,13 +45,13 @@ def prior_revisions(raw: DataFrame, text: str = "text", key: str = "doc_id") ->
 def candidate_notes(overlays: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Notes (text, place) beside the regions of overlay findings, and their findings; those without page or box are skipped."""
     rows = overlays.filter("scenario = 'A' and page is not null and x1 is not null")
-    text = F.when(F.length("recovered_text") > 0, F.concat(F.lit('[unseal] Recovered text: "'), F.col("recovered_text"), F.lit('"'))).otherwise("[unseal] Redaction overlay removed - possible hidden content")
+    text = F.when(F.length("recovered_text") > 0, F.concat(F.lit('[restore] Recovered text: "'), F.col("recovered_text"), F.lit('"'))).otherwise("[restore] Redaction overlay removed - possible hidden content")
     x, y = F.col("x2") + NOTE_GAP, (F.col("y1") + F.col("y2")) / 2
     made = rows.select(key, "page", text.alias("contents"), x.alias("x1"), y.alias("y1"), (x + NOTE_SIZE).alias("x2"), (y + NOTE_SIZE).alias("y2"))
     return made, _finding(rows, key, "D", "recovered_text")
 
 
-def unseal(docs: DataFrame, items: DataFrame, ops: DataFrame, annotations: DataFrame, raw: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def restore(docs: DataFrame, items: DataFrame, ops: DataFrame, annotations: DataFrame, raw: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """All findings, and for every document overlays_stripped, annotations_removed, prior_revision_recovered."""
     overlays = strip_overlays(items, ops, key)[1]
     found = overlays.unionByName(strip_annotations(annotations, key)[1]).unionByName(prior_revisions(raw, key=key)).unionByName(candidate_notes(overlays, key)[1])

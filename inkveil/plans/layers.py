@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import HELVETICA, TIMES
 from inkveil.functions.patterns import ENTITIES, EXEMPTIONS, INFO_FIELDS, LABELS, METADATA, entity_patterns, re2
-from inkveil.operators import annotations, audit, detect, layout, ocr, paths, redact, unseal
+from inkveil.operators import annotations, audit, detect, layout, ocr, paths, redact, restore
 from inkveil.plans import catalog as c
 from inkveil.sources import files
 
@@ -287,23 +287,23 @@ def image_pages(spark, sf_dir):
 _UNDER = "i.d = r.d AND i.x < r.x2 - 1 AND i.x + 30 > r.x1 + 1 AND i.y < r.y2 - 1 AND i.y + i.h > r.y1 + 1 AND r.x2 - r.x1 >= 5 AND r.y2 - r.y1 >= 5"
 
 
-def unseal_overlays(spark, sf_dir):
-    found = unseal.strip_overlays(_op_items(spark, sf_dir), _ops(spark, sf_dir))[1]
+def restore_overlays(spark, sf_dir):
+    found = restore.strip_overlays(_op_items(spark, sf_dir), _ops(spark, sf_dir))[1]
     return _round(found, "x1", "y1", "x2", "y2")
 
 
-def unseal_kept_ops(spark, sf_dir):
-    return unseal.strip_overlays(_op_items(spark, sf_dir), _ops(spark, sf_dir))[0].select("doc_id", "op_idx", "op")
+def restore_kept_ops(spark, sf_dir):
+    return restore.strip_overlays(_op_items(spark, sf_dir), _ops(spark, sf_dir))[0].select("doc_id", "op_idx", "op")
 
 
-def unseal_notes(spark, sf_dir):
-    overlays = unseal.strip_overlays(_op_items(spark, sf_dir), _ops(spark, sf_dir))[1]
-    return _round(unseal.candidate_notes(overlays)[0], "x1", "y1", "x2", "y2")
+def restore_notes(spark, sf_dir):
+    overlays = restore.strip_overlays(_op_items(spark, sf_dir), _ops(spark, sf_dir))[1]
+    return _round(restore.candidate_notes(overlays)[0], "x1", "y1", "x2", "y2")
 
 
-def unseal_counters(spark, sf_dir):
+def restore_counters(spark, sf_dir):
     docs = c._docs(spark, sf_dir)
-    found, counters = unseal.unseal(docs, _op_items(spark, sf_dir), _ops(spark, sf_dir), _notes(spark, sf_dir), _revised(spark, sf_dir))
+    found, counters = restore.restore(docs, _op_items(spark, sf_dir), _ops(spark, sf_dir), _notes(spark, sf_dir), _revised(spark, sf_dir))
     return counters.withColumns({n: F.col(n).cast("long") for n in ("overlays_stripped", "annotations_removed")})
 
 
@@ -397,7 +397,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         halved_page_text, shown_page_text, detect_types, detect_total, detect_first_pages, detect_supplied, coded_regions, verify_warnings, guarded_counts, kept_text, region_labels, manifest_rows,
-        batch_merge, audit_leaks, sanitized_metadata, audit_eof, audit_pending, kept_annotations, stripped_pages, audit_glyphs, filled_rects, verify_rects, image_pages, unseal_overlays, unseal_kept_ops, unseal_notes, unseal_counters,
+        batch_merge, audit_leaks, sanitized_metadata, audit_eof, audit_pending, kept_annotations, stripped_pages, audit_glyphs, filled_rects, verify_rects, image_pages, restore_overlays, restore_kept_ops, restore_notes, restore_counters,
         audit_greedy, audit_findings, audit_report, ocr_lines, ocr_redacted_count, distinct_files, encoded_texts,
     )
 }
@@ -434,10 +434,10 @@ ORACLES = {
     "filled_rects": f"WITH {_OPS}, {_AUDIT_RECTS} SELECT d AS doc_id, 1 AS page, i AS rect_idx, first_op, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM rects",
     "verify_rects": f"WITH {_OPS}, {_VERIFY_RECTS} SELECT d AS doc_id, 1 AS page, i AS rect_idx, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM vrects",
     "image_pages": f"WITH {_OPS} SELECT d AS doc_id, 1 AS page, bool_or(op = 'n' AND d % 3 = 0) AS has_image FROM ops GROUP BY d",
-    "unseal_overlays": f"WITH {_OPS}, {_AUDIT_RECTS} SELECT r.d AS doc_id, 'A' AS scenario, 1 AS page, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2, string_agg(i.str, ' ' ORDER BY i.i) AS recovered_text, 0.9::DOUBLE AS confidence FROM rects r JOIN op_items i ON {_UNDER} GROUP BY r.d, r.i, x1, y1, x2, y2",
-    "unseal_kept_ops": f"WITH {_OPS}, {_AUDIT_RECTS}, hid AS (SELECT DISTINCT r.d, r.i, r.first_op FROM rects r JOIN op_items i ON {_UNDER}) SELECT d AS doc_id, i AS op_idx, op FROM ops o WHERE NOT EXISTS (SELECT 1 FROM hid h WHERE h.d = o.d AND o.i BETWEEN h.first_op AND h.i)",
-    "unseal_notes": f"WITH {_OPS}, {_AUDIT_RECTS}, hid AS (SELECT r.d, x1, y1, x2, y2, string_agg(i.str, ' ' ORDER BY i.i) AS t FROM rects r JOIN op_items i ON {_UNDER} GROUP BY r.d, r.i, x1, y1, x2, y2) SELECT d AS doc_id, 1 AS page, '[unseal] Recovered text: \"' || t || '\"' AS contents, round(x2 + 5, 4) AS x1, round((y1 + y2) / 2, 4) AS y1, round(x2 + 23, 4) AS x2, round((y1 + y2) / 2 + 18, 4) AS y2 FROM hid",
-    "unseal_counters": f"WITH {_OPS}, {_AUDIT_RECTS}, {_NOTES}, hid AS (SELECT DISTINCT r.d, r.i FROM rects r JOIN op_items i ON {_UNDER}) SELECT doc_id, (SELECT count(*) FROM hid h WHERE h.d = o.doc_id) AS overlays_stripped, (SELECT count(*) FROM notes n WHERE n.doc_id = o.doc_id AND subtype = 'Redact') AS annotations_removed, doc_id % 4 > 1 AS prior_revision_recovered FROM documents o",
+    "restore_overlays": f"WITH {_OPS}, {_AUDIT_RECTS} SELECT r.d AS doc_id, 'A' AS scenario, 1 AS page, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2, string_agg(i.str, ' ' ORDER BY i.i) AS recovered_text, 0.9::DOUBLE AS confidence FROM rects r JOIN op_items i ON {_UNDER} GROUP BY r.d, r.i, x1, y1, x2, y2",
+    "restore_kept_ops": f"WITH {_OPS}, {_AUDIT_RECTS}, hid AS (SELECT DISTINCT r.d, r.i, r.first_op FROM rects r JOIN op_items i ON {_UNDER}) SELECT d AS doc_id, i AS op_idx, op FROM ops o WHERE NOT EXISTS (SELECT 1 FROM hid h WHERE h.d = o.d AND o.i BETWEEN h.first_op AND h.i)",
+    "restore_notes": f"WITH {_OPS}, {_AUDIT_RECTS}, hid AS (SELECT r.d, x1, y1, x2, y2, string_agg(i.str, ' ' ORDER BY i.i) AS t FROM rects r JOIN op_items i ON {_UNDER} GROUP BY r.d, r.i, x1, y1, x2, y2) SELECT d AS doc_id, 1 AS page, '[restore] Recovered text: \"' || t || '\"' AS contents, round(x2 + 5, 4) AS x1, round((y1 + y2) / 2, 4) AS y1, round(x2 + 23, 4) AS x2, round((y1 + y2) / 2 + 18, 4) AS y2 FROM hid",
+    "restore_counters": f"WITH {_OPS}, {_AUDIT_RECTS}, {_NOTES}, hid AS (SELECT DISTINCT r.d, r.i FROM rects r JOIN op_items i ON {_UNDER}) SELECT doc_id, (SELECT count(*) FROM hid h WHERE h.d = o.doc_id) AS overlays_stripped, (SELECT count(*) FROM notes n WHERE n.doc_id = o.doc_id AND subtype = 'Redact') AS annotations_removed, doc_id % 4 > 1 AS prior_revision_recovered FROM documents o",
     "audit_greedy": f"WITH RECURSIVE {c._ITEMS_SQL}, {_CROSSED}, {_GREEDY} SELECT doc_id, page, item_idx, rect_idx, str AS recovered_text FROM taken WHERE k > 0 AND rect_idx IS NOT NULL",
     "audit_findings": f"WITH {_FOUND} SELECT * EXCLUDE (k) FROM once",
     "audit_report": f"WITH {_FOUND}, per AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT \"check\")), ',') AS cs FROM once GROUP BY doc_id) SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'unreadable' ELSE 'ok' END AS status, sha256(coalesce(text, '')) AS sha256, coalesce(n, 0) AS n_findings, coalesce(cs, '') AS checks, n IS NULL AND d.doc_id % 5 <> 0 AS clean FROM documents d LEFT JOIN per USING (doc_id)",

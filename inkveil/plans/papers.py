@@ -88,8 +88,8 @@ def file_redacted(spark, sf_dir):
     return done["results"].join(left, "doc_id", "left").select("doc_id", F.col("redacted_count").cast("long").alias("redacted_count"), "text")
 
 
-def file_unsealed(spark, sf_dir):
-    out = documents.unseal_files(papers(spark, sf_dir))
+def file_restored(spark, sf_dir):
+    out = documents.restore_files(papers(spark, sf_dir))
     kinds = F.array_join(F.transform("findings", lambda f: f["scenario"]), "").alias("scenarios")
     return out.select("doc_id", F.col("overlays_stripped").cast("long").alias("overlays_stripped"), F.col("annotations_removed").cast("long").alias("annotations_removed"), "prior_revision_recovered", kinds, F.get("findings", F.lit(0))["recovered_text"].alias("recovered_text"))
 
@@ -100,7 +100,7 @@ _LINES = f"""lines AS (SELECT k AS doc_id, 1 AS page, 0::BIGINT AS item_idx, lin
 UNION ALL SELECT k, 1, 1, id, 72, 650, round({_width_sql('id')} / 1000.0::DOUBLE * 10, 4), 10, 'Helvetica', 10 FROM good UNION ALL SELECT k, 2, 0, balance, 100, 500, round(600 * length(balance) / 1000.0::DOUBLE * 8, 4), 8, 'Courier', 8 FROM good)"""
 _CHECKS = "array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN 'incremental-save' END, 'metadata-leak', CASE WHEN k % 4 = 0 THEN 'pending-annotation' END, CASE WHEN k % 3 = 0 THEN 'text-under-box' END], lambda x: x IS NOT NULL), ',')"
 
-QUERIES = {f.__name__: f for f in (file_status, file_items, file_pages, file_metadata, file_annotations, file_verify, file_audit, file_redacted, file_unsealed)}
+QUERIES = {f.__name__: f for f in (file_status, file_items, file_pages, file_metadata, file_annotations, file_verify, file_audit, file_redacted, file_restored)}
 ORACLES = {
     "file_status": f"WITH {_PAPERS} SELECT k AS doc_id, CASE WHEN k % 11 = 0 THEN 'unreadable' ELSE 'ok' END AS status, CASE WHEN k % 11 <> 0 THEN 2 END AS n_pages FROM papers",
     "file_items": f"WITH {_PAPERS}, {_LINES} SELECT * FROM lines",
@@ -110,5 +110,5 @@ ORACLES = {
     "file_verify": f"WITH {_PAPERS} SELECT k AS doc_id, CASE WHEN k % 11 <> 0 AND k % 3 = 0 THEN 1 ELSE 0 END AS n_findings, k % 11 <> 0 AND k % 3 <> 0 AS clean, 0::BIGINT AS n_warnings FROM papers",
     "file_audit": f"WITH {_PAPERS} SELECT k AS doc_id, CASE WHEN k % 11 = 0 THEN 'unreadable' ELSE 'ok' END AS status, CASE WHEN k % 11 = 0 THEN 0 ELSE 1 + CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END + (k % 7 = 0)::INT + (k % 4 = 0)::INT + (k % 3 = 0)::INT END AS n_findings, CASE WHEN k % 11 = 0 THEN '' ELSE {_CHECKS} END AS checks, false AS clean FROM papers",
     "file_redacted": f"WITH {_PAPERS} SELECT k AS doc_id, (k % 11 <> 0)::BIGINT AS redacted_count, CASE WHEN k % 11 <> 0 THEN line || '|' || balance END AS text FROM papers",
-    "file_unsealed": f"WITH {_PAPERS} SELECT k AS doc_id, CASE WHEN k % 11 <> 0 THEN (k % 3 = 0)::BIGINT END AS overlays_stripped, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END END AS annotations_removed, CASE WHEN k % 11 <> 0 THEN k % 7 = 0 END AS prior_revision_recovered, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 3 = 0 THEN 'A' ELSE '' END || CASE WHEN k % 4 = 0 THEN 'B' ELSE '' END || CASE WHEN k % 7 = 0 THEN 'C' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'D' ELSE '' END END AS scenarios, CASE WHEN k % 11 <> 0 AND k % 3 = 0 THEN id END AS recovered_text FROM papers",
+    "file_restored": f"WITH {_PAPERS} SELECT k AS doc_id, CASE WHEN k % 11 <> 0 THEN (k % 3 = 0)::BIGINT END AS overlays_stripped, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END END AS annotations_removed, CASE WHEN k % 11 <> 0 THEN k % 7 = 0 END AS prior_revision_recovered, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 3 = 0 THEN 'A' ELSE '' END || CASE WHEN k % 4 = 0 THEN 'B' ELSE '' END || CASE WHEN k % 7 = 0 THEN 'C' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'D' ELSE '' END END AS scenarios, CASE WHEN k % 11 <> 0 AND k % 3 = 0 THEN id END AS recovered_text FROM papers",
 }

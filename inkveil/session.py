@@ -12,14 +12,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, str] = {}
 _own_folder: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python workers import this package, wherever they run."""
+    """Let the executors' Python workers import this package, wherever they run, and keep Arrow batches small unless the session sets their size."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":  # the default: rows here are whole texts and files, so a batch would be large on either side
+        spark.conf.set(ARROW_ROWS, "1000")
     if context.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="inkveil-ship-")

@@ -169,7 +169,7 @@ def test_verify(spark):
     assert [r.recovered_text for r in found["violations"].collect()] == ["SSN 123-45-6789"]
 
 
-def test_audit_and_unseal(spark):
+def test_audit_and_restore(spark):
     twice = incremental(FAKE)
     docs = frame(spark, fake=FAKE, empty=EMPTY, marked=MARKED, twice=twice, bad=INVALID)
     found, report = documents.audit_files(docs, files.scan(docs), audit.preset("forensic"))
@@ -177,7 +177,7 @@ def test_audit_and_unseal(spark):
     assert {("fake", "text-under-box", "CRITICAL"), ("fake", "metadata-leak", "INFO"), ("fake", "metadata-leak", "MEDIUM"), ("marked", "pending-annotation", "CRITICAL"), ("twice", "incremental-save", "HIGH")} <= kinds
     assert {r.doc_id: r.clean for r in report.collect()} == {"fake": False, "empty": True, "marked": False, "twice": False, "bad": False}
     assert audit.preset("no such") == audit.preset("quick")
-    out = {r.doc_id: r for r in documents.unseal_files(docs).collect()}
+    out = {r.doc_id: r for r in documents.restore_files(docs).collect()}
     assert out["bad"].error and out["empty"].findings == []
     fake = out["fake"]
     assert (fake.overlays_stripped, [f.scenario for f in fake.findings], fake.findings[0].recovered_text) == (1, ["A", "D"], "SSN 123-45-6789")
