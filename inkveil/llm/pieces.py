@@ -212,9 +212,9 @@ class Pieces:
                     break
         return self._traced([word], np.array([last]), np.array([width]))[0]  # one word's ids
 
-    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of runs that stood between spaces, the space before them included unless they begin with a line end."""
-        return self._of_parts([self.cut.findall(w if w[:1] == "\n" else SPACE + w) for w in words])
+        return self._of_parts([self.cut.findall(w if w[:1] == "\n" else SPACE + w) for w in words.to_pylist()])
 
     def _of_parts(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         coded = pa.array([x for c in cut for x in c], pa.string()).dictionary_encode()

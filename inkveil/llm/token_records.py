@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.words import WordIds, freed, gathered, run_sums, text_slices
+from inkveil.llm.words import WordIds, freed, gathered, run_sums, strings, text_slices, utf8
 from inkveil.session import Scratch, ship
 
 #: The constant that masked checksums add (fixed value of the record format).
 MASK_DELTA = 0xA282EAD8
 NULL_KEY, WIDE = 1, 2
 WRITE_BYTES = 4 << 20
+#: What a byte of a word is: a letter, a digit, another plain character, or one that the cuts can't be sure of; and the same byte lower-cased.
+LETTER, DIGIT, OTHER, UNSURE = range(4)
+KINDS = np.array([LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else UNSURE if b < 32 or b == 127 or chr(b) in "'<" else OTHER for b in range(128)] + [UNSURE] * 128, np.uint8)
+LOWER = np.array([ord(chr(b).lower()) for b in range(128)] + [*range(128, 256)], np.uint8)
+
+
+def lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes lower-cased where that is sure, and their kinds. Letters from U+00C0 to U+00FF (two bytes, the first 0xC3) are plain ones too: composing leaves them alone."""
+    out, kinds = LOWER[data], KINDS[data]
+    at = np.flatnonzero(data == 0xC3)
+    second = data[at + 1]
+    kinds[at], kinds[at + 1] = LETTER, np.where((second == 0x97) | (second == 0xB7), UNSURE, LETTER)  # the signs for times and divided by
+    out[at + 1] = second + 0x20 * (second < 0x9F)
+    return out, kinds
 
 
 def masked(data: bytes) -> int:
@@ -65,13 +80,11 @@ class Encoder:
 
     Texts are cut at spaces and line ends if the file is seen never to have a token there: it drops white space, and what it
     does before that (composing, lower-casing) doesn't reach across. Where it also lower-cases and splits digits one by
-    one, plain ASCII runs are cut further into letters, single digits and the rest, as the tokenizer does. What the cuts can't be
-    sure of (apostrophes, control characters, special tokens, other scripts) goes to the tokenizer between spaces, and with any
+    one, plain runs (ASCII and the letters of Latin-1) are cut further into letters, single digits and the rest, as the tokenizer does.
+    What the cuts can't be sure of (apostrophes, control characters, special tokens, other scripts) goes to the tokenizer between spaces, and with any
     other file whole texts do.
     """
 
-    CUT = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-    UNSURE = re.compile(r"['<\x00-\x1f\x7f]")
     #: The pattern of tokenizers that take letters, single digits and other runs, without white space (a fixed value).
     RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -96,29 +109,40 @@ class Encoder:
         cuts = set(kinds) <= {"NFC", "Replace", "Lowercase"} and blank and runs and bytewise and added and not file.get("truncation") and not file.get("padding")
         return cuts, cuts and "Lowercase" in kinds
 
-    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _single(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of what is one word to the tokenizer: many words together are one text."""
         ids, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
+            part = words.slice(i, 2048).to_pylist()
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids.append(np.array(e.ids, np.int32))
             counts.append(np.bincount(e.word_ids, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(self, data: np.ndarray, kinds: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """What the tokenizer takes as words within plain words: runs of letters, single digits, other runs; and how many each word has."""
+        first = np.r_[True, kinds[1:] != kinds[:-1]][: len(kinds)] | (kinds == DIGIT)
+        ends = np.cumsum(lengths)
+        first[ends - lengths] = True
+        return strings(data, np.r_[np.flatnonzero(first), len(data)]), run_sums(first, lengths)
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words that stand between spaces."""
-        plain = np.array([self.plain and bool(w) and w.isascii() and not self.UNSURE.search(w) for w in words], bool)
-        cut = [self.CUT.findall(w.lower()) for w, p in zip(words, plain.tolist(), strict=True) if p]
-        ids, each = self.parts.ids(pa.array([x for c in cut for x in c], pa.string()))
-        whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        data, edges = utf8(words)
+        data, kinds = lowered(data)
+        lengths = np.diff(edges)
+        plain = (run_sums(kinds == UNSURE, lengths) == 0) & (lengths > 0) & self.plain
+        inside = np.repeat(plain, lengths)
+        parts, cuts = self._parts(data[inside], kinds[inside], lengths[plain])
+        ids, each = self.parts.ids(parts)
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
         counts = np.zeros(len(words), np.int64)
-        counts[plain] = run_sums(each, np.array([len(c) for c in cut], np.int64))
+        counts[plain] = run_sums(each, cuts)
         counts[~plain] = [len(x) for x in whole]
         order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]  # the order in which ids stand in the pool
         starts = np.zeros(len(words), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
-        return gathered(np.concatenate([ids, *whole]), starts, counts), counts
+        return gathered(np.r_[ids, np.fromiter(chain.from_iterable(whole), np.int32)], starts, counts), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and where each text's begin (with the end of the last). Null texts have none."""

@@ -12,7 +12,7 @@ import pytest
 
 from inkveil.llm import html_wrapper as hw
 from inkveil.llm import jaccard_join as jj
-from inkveil.llm import secrets, token_records, toxicity
+from inkveil.llm import secrets, token_records, toxicity, words
 from inkveil.llm.audio_columns import audio_columns, feature_digest, from_wav, padded, to_wav
 from inkveil.llm.chat_format import rotate_perspectives
 from inkveil.llm.exact_dedup import exact_dedup
@@ -300,6 +300,40 @@ def test_token_records(docs, nothing):
     assert token_records.token_records(nothing, lambda: WORDS).count() == 0
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """A worker of op8 or op5 that meets 300,000 words over and over encodes each of them once."""
+    met = []
+
+    def encode(distinct):
+        met.append(len(distinct))
+        numbers = np.array([int(w or 0) for w in distinct.to_pylist()], np.int32)
+        return np.repeat(numbers, numbers % 3), (numbers % 3).astype(np.int64)
+
+    def right(own, numbers):
+        ids, lengths = own.ids(pa.array([str(k) if k else "" for k in numbers], pa.string()))
+        return ids.tolist() == [k for k in numbers for _ in range(k % 3)] and lengths.tolist() == [k % 3 for k in numbers]
+
+    own = words.WordIds(encode)
+    for _ in range(2):
+        assert all(right(own, range(k, k + 50_000)) for k in range(0, 300_000, 50_000))
+    assert sum(met) == 300_000
+    monkeypatch.setattr(words, "hashed", lambda x: np.zeros(len(x), np.uint64))  # all hashes clash
+    own = words.WordIds(encode)
+    assert all(right(own, numbers) for numbers in ([5, 0, 7, 5], [7, 1, 5], [0, 2, 7], []))
+
+
+def test_token_records_of_latin_letters():
+    """Words with letters of Latin-1 are cut into parts too, and give the library's ids."""
+    from tokenizers import Tokenizer
+
+    own, library = token_records.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = [" ".join(chr(c) + x for c in range(0x80, 0x180) for x in ("", "a", "\u0301b", "1É2,", "'s")), "Ciónqueci, ÈONEAUÈ*** ×÷ 3×4 DIECHLICHÜHEIT!! e\u0301É ÿß¿qué? İÀ ÀŸ", "été" * 3000]
+    ids, edges = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    parts, counts = own._parts(*token_records.lowered(np.frombuffer("ÉTÉ12,x".encode(), np.uint8)), np.array([9]))
+    assert parts.to_pylist() == ["été", "1", "2", ",", "x"] and counts.tolist() == [5]
+
+
 def brute_components(rows, k, top, bottom):
     sets, parent = [], list(range(len(rows)))
 
