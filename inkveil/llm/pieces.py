@@ -3,9 +3,11 @@
 For every prefix of a word the pass keeps the last piece of the prefix's encoding. A merge-based model encodes a text
 as pieces of which each two neighbours, joined, encode as themselves again; so the piece that ends at a position is
 the one (there is one only) that its word's hash finds among the piece keys and that may stand behind the last piece
-of the prefix before it. Words of equal length advance together: at each position the hashes of all substrings that
-end there probe the sorted keys, forbidden neighbours lose, and the maximum over the lengths is the back pointer.
-Whether two pieces may be neighbours is worked out once a pair, by merging their letters, and remembered.
+of the prefix before it. Words of all lengths advance together: from every character the hashes of the substrings that
+begin there are made as long as a piece begins like them, and those of pieces are kept; then, at one distance from the
+words' beginnings after the other, forbidden neighbours lose, and what is left is the back pointer. The pieces that the
+back pointers use are compared letter by letter. Whether two pieces may be neighbours is worked out once a pair, by
+merging their letters, and remembered.
 
 Results equal the sentencepiece library's, with byte fallback for characters that no piece has.
 """
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,16 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.words import WordIds, freed, gathered, run_sums, text_slices
+from inkveil.llm.words import WordIds, freed, gathered, run_sums, text_slices, utf8
 from inkveil.session import ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: The longest word that advances in a batch; longer ones go through the same pass alone.
-LONGEST = 40
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: The longest word that advances with others; longer ones go through the same pass alone. Characters that advance together.
+LONGEST, LETTERS = 40, 1 << 18
 #: Pairs of pieces whose neighbourhood a worker remembers before it starts anew, and how many of them it holds apart as met lately.
 PAIRS, LATE = 4_000_000, 4096
+#: Bits of the numbers of places in the table of hashes (a byte each) and in that of pairs (8 bytes each).
+HASH_BITS, PAIR_BITS = 21, 20
+#: What stands behind a hash in its table: a piece, the beginning of a longer one.
+WHOLE, BEGINNING = 1, 2
+
+
+def _place(numbers: np.ndarray, bits: int) -> np.ndarray:
+    """Places of 64-bit numbers in a table."""
+    return (numbers * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Pieces:
@@ -72,17 +82,18 @@ class Pieces:
 
     def _keys(self, own: list[int]):
         letters = np.zeros((len(self.names) + 1, self.widest), np.uint32)
-        hashes = np.zeros(len(own), np.uint64)
+        hashes, self.sizes = np.zeros(len(own), np.uint64), np.zeros(len(self.names) + 1, np.int64)
+        self.hints = np.zeros(1 << HASH_BITS, np.uint8)
         for k, i in enumerate(own):
             codes = np.array([ord(c) for c in self.names[i]], np.uint32)
-            letters[i, : len(codes)] = codes
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in codes:
-                    h = h * _BASE + np.uint64(c) + np.uint64(1)
-            hashes[k] = h
+            letters[i, : len(codes)], self.sizes[i] = codes, len(codes)
+        for size in range(1, self.widest + 1):  # hashes of the first letters of all pieces that have as many
+            long = np.flatnonzero(self.sizes[own] >= size)
+            hashes[long] = hashes[long] * _BASE + letters[own, size - 1][long] + np.uint64(1)
+            whole = self.sizes[own][long] == size
+            np.bitwise_or.at(self.hints, _place(hashes[long], HASH_BITS), np.where(whole, WHOLE, BEGINNING).astype(np.uint8))
         order = np.argsort(hashes)
-        return hashes[order], np.array(own, np.int64)[order], letters
+        return hashes[order], np.array(own, np.int32)[order], letters
 
     def merged(self, text: str) -> list[str]:
         """A short text's pieces, by merging the neighbours with the best score, the leftmost of equals."""
@@ -108,8 +119,19 @@ class Pieces:
         return self.merged("".join(want)) == want
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether each b may stand behind its a; pairs are looked up in two sorted arrays, the second of those met lately."""
-        pair = (a + 1) * (self.unknown + 1) + b
+        """Whether each b may stand behind its a: pairs are looked up in a table that has room for one a place, the rest by _found."""
+        pair = (a.astype(np.int64) + 1) * (self.unknown + 1) + b
+        at = _place(pair.view(np.uint64), PAIR_BITS)
+        held = self.held[at]
+        out = (held & 1).astype(bool)
+        miss = np.flatnonzero(held >> 1 != pair)
+        if len(miss):
+            out[miss] = self._found(pair[miss])
+            self.held[at[miss]] = pair[miss] * 2 + out[miss]
+        return out
+
+    def _found(self, pair: np.ndarray) -> np.ndarray:
+        """Whether pairs may be neighbours; they are looked up in two sorted arrays, the second of those met lately."""
         out, left = np.zeros(len(pair), bool), np.ones(len(pair), bool)
         for keys, good in self.pairs:
             if len(keys):
@@ -131,58 +153,67 @@ class Pieces:
             self.pairs = [(old, old_good), (late[order], late_good[order])]
         return out
 
-    def _advance(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of words that all have the same length, one behind the other, and how many each has."""
-        n, length = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length)
-        prefix = np.zeros((n, length + 1), np.uint64)
-        powers = np.ones(self.widest + 1, np.uint64)
-        last, width = np.full((n, length + 1), -1, np.int64), np.zeros((n, length + 1), np.int64)
-        with np.errstate(over="ignore"):
-            for k in range(1, self.widest + 1):
-                powers[k] = powers[k - 1] * _BASE
-            for e in range(1, length + 1):
-                prefix[:, e] = prefix[:, e - 1] * _BASE + codes[:, e - 1] + np.uint64(1)
-                found = []  # (rows, size, pieces) of the substrings that end here
-                for size in range(1, min(self.widest, e) + 1):
-                    h = prefix[:, e] - prefix[:, e - size] * powers[size]
-                    at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                    rows = np.flatnonzero(self.keys[at] == h)
-                    piece = self.key_ids[at[rows]]
-                    same = (self.letters[piece, :size] == codes[rows, e - size : e]).all(1)
-                    if size < self.widest:
-                        same &= self.letters[piece, size] == 0
-                    rows, piece = rows[same], piece[same]
-                    if size == 1:
-                        own = np.full(n, self.unknown)
-                        own[rows] = piece
-                        rows, piece = np.arange(n), own
-                    if len(rows):
-                        found.append((rows, np.full(len(rows), size), piece))
-                rows, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-                good = self.may_follow(last[rows, e - size], piece)
-                rows, size, piece = rows[good], size[good], piece[good]  # in order of size: the longest is written last
-                width[rows, e], last[rows, e] = size, piece
-        return self._traced(words, last, width)
-
-    def _traced(self, words, last, width) -> tuple[np.ndarray, np.ndarray]:
-        """Follow the back pointers of all words at once."""
-        n, at = len(words), np.full(len(words), last.shape[1] - 1)
-        every, steps = np.arange(n), []
-        while (at > 0).any():
-            moves = width[every, at]
-            if ((moves == 0) & (at > 0)).any():
-                raise ValueError(f"no pieces for {words[int(np.flatnonzero((moves == 0) & (at > 0))[0])]!r}")
-            steps.append((np.where(at > 0, last[every, at], -1), at))
-            at = at - np.where(at > 0, moves, 0)
-        piece = np.stack([s for s, _ in reversed(steps)], 1)
-        end = np.stack([e for _, e in reversed(steps)], 1)
-        row, column = np.nonzero(piece >= 0)
-        flat = piece[row, column]
+    def _matches(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces seem to end, their sizes and ids, in order of size; a character without a piece is one of its own. room: characters from a place to its word's end."""
+        start = np.flatnonzero(room)
+        h, found = np.zeros(len(start), np.uint64), []
+        for size in range(1, self.widest + 1):
+            h = h * _BASE + codes[start + (size - 1)] + np.uint64(1)
+            hints = self.hints[_place(h, HASH_BITS)]
+            rows = np.arange(len(start)) if size == 1 else np.flatnonzero(hints & WHOLE)
+            at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+            same = self.keys[at] == h[rows]
+            if size == 1:
+                piece = np.where(same, self.key_ids[at], np.int32(self.unknown))
+            else:
+                rows, piece = rows[same], self.key_ids[at[same]]
+            found.append(((start[rows] + (size - 1)).astype(np.int32), np.full(len(rows), size, np.int32), piece))
+            more = np.flatnonzero((hints & BEGINNING > 0) & (room[start] > size))
+            start, h = start[more], h[more]
+            if not len(start):
+                break
+        end, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return end, size, piece
+
+    def _advance(self, words: pa.Array, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of words, one behind the other, how many each has, and whether it is right (False: two substrings' hashes clash)."""
+        n, ends = len(words), np.cumsum(lengths + 1) - 1  # the words stand one behind the other, each behind an empty place
+        total = int(ends[-1]) + 1
+        word = np.repeat(np.arange(n, dtype=np.int32), lengths + 1)
+        step = np.arange(total) - (ends - lengths)[word]  # characters of the word up to here
+        codes = np.zeros(total, np.uint32)
+        codes[step > 0] = np.frombuffer(utf8(words)[0].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        end, size, piece = self._matches(codes, np.where(step > 0, ends[word] - np.arange(total) + 1, 0))
+        last, width = np.full(total, -1, np.int32), np.zeros(total, np.int32)
+        far = step[end].astype(np.uint8)  # sorted in one go; LONGEST is less than 256
+        order = np.argsort(far, kind="stable")
+        end, size, piece, stops = end[order], size[order], piece[order], np.cumsum(np.bincount(far))
+        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            good = np.flatnonzero(self.may_follow(last[end[a:b] - size[a:b]], piece[a:b])) + a
+            last[end[good]], width[end[good]] = piece[good], size[good]  # in order of size: the longest is written last
+        used, right, at = np.zeros(total, bool), np.ones(n, bool), ends[lengths > 0]
+        while len(at):  # follow the back pointers of all words at once
+            used[at] = True
+            moves = width[at]
+            right[word[at[moves == 0]]] = False
+            at = (at - moves)[moves > 0]
+            at = at[step[at] > 0]
+        at = np.flatnonzero(used)
+        piece, size = last[at], width[at]
+        wrong = (piece != self.unknown) & (self.sizes[piece] != size)
+        for k in range(int(size.max(initial=0))):
+            rows = np.flatnonzero((size > k) & (piece != self.unknown))
+            wrong[rows] |= self.letters[piece[rows], k] != codes[at[rows] - size[rows] + 1 + k]
+        right[word[at[wrong]]] = False
+        at = at[right[word[at]]]
+        return *self._spelled(last[at], codes[at], word[at], n), right
+
+    def _spelled(self, flat: np.ndarray, codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, with characters that no piece has as bytes, and how many each of n words has."""
         odd = np.flatnonzero(flat == self.unknown)
         if not len(odd):
             return flat.astype(np.int32), np.bincount(row, minlength=n)
-        spelled = {k: self.fallback(words[row[k]][end[row[k], column[k]] - 1]) for k in odd.tolist()}  # characters without a piece
+        spelled = {k: self.fallback(chr(codes[k])) for k in odd.tolist()}
         sizes = np.ones(len(flat), np.int64)
         sizes[odd] = [len(x) for x in spelled.values()]
         out = np.repeat(flat, sizes)
@@ -210,42 +241,54 @@ class Pieces:
                 if good:
                     last[e], width[e] = piece, size
                     break
-        return self._traced([word], np.array([last]), np.array([width]))[0]  # one word's ids
+        used, e = [], len(word)
+        while e:
+            if not width[e]:
+                raise ValueError(f"no pieces for {word!r}")
+            used.append([last[e]] if last[e] != self.unknown else self.fallback(word[e - 1]))
+            e -= width[e]
+        return np.array([x for ids in reversed(used) for x in ids], np.int32)
 
     def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of runs that stood between spaces, the space before them included unless they begin with a line end."""
-        return self._of_parts([self.cut.findall(w if w[:1] == "\n" else SPACE + w) for w in words.to_pylist()])
+        if pc.any(pc.match_substring(words, SPACE)).as_py():
+            return self._of_parts([self.cut.findall(w if w[:1] == "\n" else SPACE + w) for w in words.to_pylist()])
+        return self._viterbi(pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(SPACE, words, "")))
 
     def _of_parts(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         coded = pa.array([x for c in cut for x in c], pa.string()).dictionary_encode()
-        pool, each = self._viterbi(coded.dictionary.to_pylist())
+        pool, each = self._viterbi(coded.dictionary)
         own = np.asarray(coded.indices)
         return gathered(pool, (np.cumsum(each) - each)[own], each[own]), run_sums(each[own], np.array([len(c) for c in cut], np.int64))
 
-    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of words; those of equal length advance together."""
+    def _viterbi(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of words, and how many each has; those that aren't long advance together."""
         if len(self.pairs[0][0]) > PAIRS:
             self._forget()
-        by_length = defaultdict(list)
-        for k, w in enumerate(words):
-            by_length[len(w)].append(k)
-        out, order, counts = [np.empty(0, np.int32)], [], np.zeros(len(words), np.int64)
-        for length, own in by_length.items():
-            for i in range(0, len(own), 8192 if length <= LONGEST else 1):
-                part = own[i : i + 8192] if length <= LONGEST else own[i : i + 1]
-                if length <= LONGEST:
-                    ids, counts[part] = self._advance([words[k] for k in part])
-                else:
-                    ids = self._one(words[part[0]])
-                    counts[part] = len(ids)
-                out.append(ids)
-                order += part
+        lengths = np.asarray(pc.utf8_length(words)).astype(np.int64)
+        out, order, counts, alone = [np.empty(0, np.int32)], [], np.zeros(len(words), np.int64), lengths > LONGEST
+        short = np.flatnonzero(~alone)
+        ends, i = np.cumsum(lengths[short]), 0
+        while i < len(short):
+            stop = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LETTERS, "right")))
+            part = short[i:stop]
+            ids, counts[part], right = self._advance(words.take(pa.array(part)), lengths[part])
+            alone[part] = ~right
+            out.append(ids)
+            order.append(part[right])
+            i = stop
+        for k in np.flatnonzero(alone).tolist():
+            out.append(self._one(words[k].as_py()))
+            order.append([k])
+            counts[k] = len(out[-1])
+        order = np.concatenate([np.empty(0, np.int64), *order]).astype(np.int64)
         starts = np.zeros(len(words), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
         return gathered(np.concatenate(out), starts, counts), counts
 
     def _forget(self) -> None:
         self.pairs = [(np.empty(0, np.int64), np.empty(0, bool))] * 2
+        self.held = np.full(1 << PAIR_BITS, -1, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and where each text's begin (with the end of the last). Null texts have none."""

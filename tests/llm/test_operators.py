@@ -18,7 +18,7 @@ from inkveil.llm.chat_format import rotate_perspectives
 from inkveil.llm.exact_dedup import exact_dedup
 from inkveil.llm.jaccard_join import jaccard_components
 from inkveil.llm.mixing import mix, pivot, targets
-from inkveil.llm.pieces import encode_texts, piece_digests, pieces
+from inkveil.llm.pieces import Pieces, encode_texts, piece_digests, pieces
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = [None, "", " \n", "one", "one two three four five six seven", "One two three four five six seven", "é日 text \U0001f600", "x" * 9000, "w " * 4000, "one"]
@@ -334,6 +334,28 @@ def test_token_records_of_latin_letters():
     assert parts.to_pylist() == ["été", "1", "2", ",", "x"] and counts.tolist() == [5]
 
 
+def test_pieces_advance_together(monkeypatch):
+    """Words of thirty lengths take one pass, and pieces whose hashes clash are seen."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp, own = SentencePieceProcessor(model_file=MODEL), Pieces(MODEL)
+    calls, plain = [], own.may_follow
+    monkeypatch.setattr(own, "may_follow", lambda a, b: calls.append(len(a)) or plain(a, b))
+    texts = [" ".join("interchangeablenesses, Übergrößen"[i : i + n] for n in range(1, 31)) for i in range(4)]
+    texts += ["a▁b c▁▁d the▁", "\n\nthe\nend", "x" * 300 + " the", "日本語 \x00\x01 the\U0001f600", ""]
+
+    def right(some):
+        ids, edges = own.encode(pa.array(some, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == sp.encode(some)
+
+    assert right(texts[:4]) and len(calls) <= 32
+    assert right(texts) and right(texts + mixed_texts(300, seed=11))
+    own = Pieces(MODEL)
+    for name in ("▁the", "er", "a"):  # as if other letters had the same hash
+        own.letters[own.ids[name]] = 7
+    assert right(["the theatre over there", *texts])
+
+
 def brute_components(rows, k, top, bottom):
     sets, parent = [], list(range(len(rows)))
 
