@@ -293,3 +293,24 @@ def test_sinks_and_uploads(spark, tmp_path):
     for n in ("x.pdf", "y.pdf"):
         (tmp_path / "p" / n).write_bytes(EMPTY)
     assert sorted((r.name, r.n_bytes) for r in files.read_files(spark, str(tmp_path / "p")).collect()) == [("x.pdf", len(EMPTY)), ("y.pdf", len(EMPTY))]
+
+
+def test_papers_are_dealt_to_all_tasks(spark, tmp_path):
+    from inkveil.plans import papers
+
+    rows = spark.range(3 * papers.DEALT * 4).selectExpr("id AS c_custkey", "'n' AS c_name", "1.5D AS c_acctbal", "'s' AS c_mktsegment")
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))  # one file of one row group, as the driver's
+    made = papers.papers(spark, str(tmp_path))
+    sizes = [n for n in made.select("doc_id").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == rows.count() and len(sizes) == 12 and max(sizes) <= papers.DEALT * 1.1
+
+
+def test_reading_of_odd_tokens():
+    """Blanks, comments and cross references, read by patterns, are what they were read byte for byte."""
+    for text, want in ((b"%a\n%b\r\n\0 /A", "A"), (b"%all", None), (b"+7", 7), (b"-.5", -0.5), (b"nan", pdf.Keyword("nan")), (b"(a\\\r\nb\\(\\8)", b"ab(8"), (b"((", b"("), (b"/A#2fB#", "A/B#"), (b"[true null]", [True, None])):
+        assert pdf.Lexer(text).value() == want
+    for name in ("plain", "a b", "a#b", "a/b", "\xe9", ""):
+        raw = pdf.serialized(pdf.Name(name))
+        assert pdf.Lexer(raw).value() == name and not set(raw[1:]) & set(b"()<>[]{}/% ")
+    loose = SSN.replace(b" 00000 n \n", b" 00000 n%c\n")
+    assert texts(loose) == texts(SSN)
