@@ -314,3 +314,10 @@ def test_reading_of_odd_tokens():
         assert pdf.Lexer(raw).value() == name and not set(raw[1:]) & set(b"()<>[]{}/% ")
     loose = SSN.replace(b" 00000 n \n", b" 00000 n%c\n")
     assert texts(loose) == texts(SSN)
+
+
+def test_redacting_is_dealt_to_all_tasks(spark):
+    docs = spark.range(200).selectExpr("CAST(id AS STRING) AS doc_id").crossJoin(frame(spark, a=SSN).select("content")).coalesce(1)
+    done = documents.entity_files(docs, ["ssn"], files.scan(docs, parts=("items",)))
+    sizes = [n for n in done["files"].select("doc_id").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == 200 and len(sizes) >= 4 and max(sizes) < 100
