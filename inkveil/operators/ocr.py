@@ -17,11 +17,19 @@ from inkveil.operators import detect
 PADDING = 2.0
 
 
-def lines_of_blocks(pages: DataFrame, blocks: str = "blocks", keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """keys, line, word_idx, text, x0, y0, x1, y1: the words that aren't blank, in lines that have one."""
+def lines_of_blocks(pages: DataFrame, blocks: str = "blocks", keys: tuple[str, ...] = ("doc_id", "page"), patterns: list[Pattern] | None = None) -> DataFrame:
+    """keys, line, word_idx, text, x0, y0, x1, y1: the words that aren't blank, in lines that have one.
+
+    With patterns only lines that one of them matches are given, which spares words_hit() the sorting of all others.
+    """
     lines = F.flatten(F.transform(F.flatten(F.transform(F.col(blocks), lambda b: b["paragraphs"])), lambda p: p["lines"]))
     kept = F.filter(F.transform(lines, lambda l: F.filter(l["words"], lambda w: F.trim(w["text"]) != "")), lambda words: F.size(words) > 0)
     rows = pages.select(*keys, F.posexplode(kept).alias("line", "words"))
+    if patterns is not None:
+        text, some = F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit(False)
+        for p in patterns:
+            some = some | (F.col("_text").rlike(p.hint) & F.col("_text").rlike(p.regex) if p.hint else F.col("_text").rlike(p.regex))
+        rows = rows.withColumn("_text", text).filter(some).drop("_text")
     return rows.select(*keys, "line", F.posexplode("words").alias("word_idx", "w")).select(*keys, "line", "word_idx", "w.text", "w.x0", "w.y0", "w.x1", "w.y1")
 
 

@@ -356,8 +356,9 @@ def ocr_lines(spark, sf_dir):
 
 def ocr_redacted_count(spark, sf_dir):
     """Words, not matches: a pattern of two words covers two."""
-    words = ocr.lines_of_blocks(_blocks(spark, sf_dir))
-    return ocr.redacted_count(ocr.burnt_boxes(ocr.words_hit(words, entity_patterns(["email", "ip-address"]))))
+    patterns = entity_patterns(["email", "ip-address"])
+    words = ocr.lines_of_blocks(_blocks(spark, sf_dir), patterns=patterns)
+    return ocr.redacted_count(ocr.burnt_boxes(ocr.words_hit(words, patterns)))
 
 
 _WORDS = """lined AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: list_filter(string_split(l, ' '), lambda w: trim(w) <> '')), lambda ws: len(ws) > 0)) AS ws FROM documents)"""

@@ -155,3 +155,19 @@ def test_patterns_of_certain_pages(spark):
     got = detect.matches(df, [replace(email, name="some", pages=(1, 3)), email], keys=("doc_id", "page")).collect()
     assert sorted((r.page, r.start_off) for r in got if r.type == "some") == [(1, 0), (1, 13), (3, 0), (3, 13)]
     assert sum(r.type == "email" for r in got) == 7
+
+
+def test_ocr_lines_of_matches_only(spark):
+    """Only lines that a pattern matches are spread into words; the words hit are the same."""
+    from inkveil.functions.patterns import entity_patterns
+    from inkveil.operators import ocr
+
+    box = "0D AS x0, 0D AS y0, 1D AS x1, 1D AS y1"
+    lines = [["mail", "a.b@example.org", "now"], ["nothing", "here"], ["at@", "no"], ["10.0.0.1", " ", "a.b@example.org"], [" "]]
+    words = "array(" + ", ".join("struct(array(" + ", ".join(f"(SELECT struct('{w}' AS text, {box}))" for w in ws) + ") AS words)" for ws in lines) + ")"
+    pages = spark.sql(f"SELECT 1 AS doc_id, 1 AS page, array(struct(array(struct({words} AS lines)) AS paragraphs)) AS blocks")
+    patterns = entity_patterns(["email", "ip-address"])
+    kept, whole = ocr.lines_of_blocks(pages, patterns=patterns), ocr.lines_of_blocks(pages)
+    assert sorted((r.line, r.word_idx) for r in kept.collect()) == [(0, 0), (0, 1), (0, 2), (3, 0), (3, 1)]
+    hit = lambda rows: sorted((r.line, r.text) for r in ocr.words_hit(rows, patterns).collect())
+    assert hit(kept) == hit(whole) == [(0, "a.b@example.org"), (3, "10.0.0.1"), (3, "a.b@example.org")]
