@@ -36,7 +36,7 @@ METADATA = {
 }
 INFO_FIELDS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")
 
-#: What a text must hold to have a match: a plain pattern that is quicker to look for. Names have none.
+#: What a text must hold, within a line, to have a match: a plain pattern that is quicker to look for. Names have none.
 HINTS = {
     "ssn": "[0-9]-[0-9]", "phone": "[0-9]{4}", "email": "@", "credit-card": "[0-9]{4}", "ip-address": r"[0-9]\.[0-9]", "date": "[0-9]{4}|[0-9][-/][0-9]",
     "attorney-client-marker": "[Pp][Rr](?:[Ii][Vv][Ii][Ll][Ee][Gg]|[Oo][Dd][Uu][Cc][Tt])",

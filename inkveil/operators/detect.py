@@ -51,6 +51,14 @@ def matches(df: DataFrame, patterns: list[Pattern], text: str = "text", keys: tu
     return spread.select(*keys, "type", F.col("match_idx").cast("long").alias("match_idx"), value.alias("value"), F.col("s.start").cast("long").alias("start_off"), (F.col("s.start") + F.length(value)).cast("long").alias("end_off")).filter(F.length("value") > 0)
 
 
+def hinted(text: Column, patterns: list[Pattern]) -> Column:
+    """Whether a text may have matches: some pattern has no hint, or its hint is found. Hints stand within a line, so this holds for the pages of a text as well."""
+    t, some = F.coalesce(text, F.lit("")), F.lit(False)
+    for p in patterns:
+        some = some | (t.rlike(p.hint) if p.hint else F.lit(True))
+    return some
+
+
 def summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """For each type: matches, distinct values (trimmed), documents."""
     return found.groupBy("type").agg(F.count("*").alias("n_matches"), F.countDistinct(F.trim("value")).alias("n_distinct"), F.countDistinct(key).alias("n_docs"))

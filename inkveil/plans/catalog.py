@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import HELVETICA, hex_color, text_units
-from inkveil.functions.patterns import ENTITIES, METADATA, entity_patterns, re2
+from inkveil.functions.patterns import ENTITIES, METADATA, Pattern, entity_patterns, re2
 from inkveil.operators import detect, layout, redact
 
 #: Entity types that RE2 can express (names need lookarounds).
@@ -25,13 +25,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.text_items(_docs(spark, sf_dir))
+def _items(spark: SparkSession, sf_dir: str, patterns: list[Pattern] | None = None) -> DataFrame:
+    """The items; with patterns those of documents that may have matches, for queries that need no others."""
+    docs = _docs(spark, sf_dir)
+    return layout.text_items(docs if patterns is None else docs.filter(detect.hinted(F.col("text"), patterns)))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, patterns: list[Pattern] | None = None) -> DataFrame:
     """The items, for queries that need no widths."""
-    return layout.text_items(_docs(spark, sf_dir), widths=False)
+    docs = _docs(spark, sf_dir)
+    return layout.text_items(docs if patterns is None else docs.filter(detect.hinted(F.col("text"), patterns)), widths=False)
 
 
 def _bars(items: DataFrame) -> DataFrame:
@@ -101,8 +104,9 @@ def page_text(spark, sf_dir):
 
 
 def match_regions(spark, sf_dir):
-    placed = layout.placed_items(_items(spark, sf_dir))
-    found = detect.matches(layout.page_texts(placed), entity_patterns(["email", "ip-address", "credit-card"]), keys=("doc_id", "page"))
+    patterns = entity_patterns(["email", "ip-address", "credit-card"])
+    placed = layout.placed_items(_items(spark, sf_dir, patterns))
+    found = detect.matches(layout.page_texts(placed), patterns, keys=("doc_id", "page"))
     out = layout.match_regions(found, placed)
     return out.select("doc_id", "page", "type", "match_idx", *[F.round(c, 4).alias(c) for c in ("x", "y", "width", "height")])
 

@@ -49,21 +49,21 @@ def shown_page_text(spark, sf_dir):
 
 def detect_types(spark, sf_dir):
     """What a detection reports of each document: values in the order seen, samples, pages."""
-    texts = files.page_texts(c._lines(spark, sf_dir))
+    texts = files.page_texts(c._lines(spark, sf_dir, entity_patterns(SCANNED)))
     found = detect.first_seen(detect.matches(texts, entity_patterns(SCANNED), keys=("doc_id", "page")))
     join = lambda name: F.array_join(F.col(name).cast("array<string>"), "|").alias(name)
     return found.select("doc_id", "type", "count", join("samples"), join("values"), join("pages"))
 
 
 def detect_total(spark, sf_dir):
-    texts = files.page_texts(c._lines(spark, sf_dir))
+    texts = files.page_texts(c._lines(spark, sf_dir, entity_patterns(SCANNED)))
     return detect.total(detect.first_seen(detect.matches(texts, entity_patterns(SCANNED), keys=("doc_id", "page"))))
 
 
 def detect_first_pages(spark, sf_dir):
     """Patterns that are sought on first pages only, others everywhere."""
-    texts = layout.page_texts(layout.placed_items(c._lines(spark, sf_dir)))
     kinds = [replace(p, pages=(1,)) if p.name == "phone" else p for p in entity_patterns(["phone", "email"])]
+    texts = layout.page_texts(layout.placed_items(c._lines(spark, sf_dir, kinds)))
     return detect.matches(texts, kinds, keys=("doc_id", "page")).groupBy("page", "type").agg(F.count("*").alias("n"))
 
 
@@ -75,9 +75,10 @@ def detect_supplied(spark, sf_dir):
 
 
 def coded_regions(spark, sf_dir):
-    placed = layout.placed_items(_items(spark, sf_dir))
+    patterns = entity_patterns(["email", "ip-address", "attorney-client-marker"], {"email": "(b)(7)"})
+    placed = layout.placed_items(c._items(spark, sf_dir, patterns))
     height = placed.select("doc_id", "page").distinct().filter("page % 5 <> 0").withColumn("height", F.lit(layout.HEIGHT))  # the others have none
-    found = redact.searched_regions(placed, entity_patterns(["email", "ip-address", "attorney-client-marker"], {"email": "(b)(7)"}), height)
+    found = redact.searched_regions(placed, patterns, height)
     return _round(found, "x", "y", "width", "height").select("doc_id", "page", "type", "match_idx", "x", "y", "width", "height", "label", "exemption_code", "exemption_basis", F.col("region_idx").cast("long").alias("region_idx"))
 
 

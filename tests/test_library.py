@@ -171,3 +171,16 @@ def test_ocr_lines_of_matches_only(spark):
     assert sorted((r.line, r.word_idx) for r in kept.collect()) == [(0, 0), (0, 1), (0, 2), (3, 0), (3, 1)]
     hit = lambda rows: sorted((r.line, r.text) for r in ocr.words_hit(rows, patterns).collect())
     assert hit(kept) == hit(whole) == [(0, "a.b@example.org"), (3, "10.0.0.1"), (3, "a.b@example.org")]
+
+
+def test_documents_without_hints_are_not_laid_out(spark, tmp_path):
+    """Only documents that may have matches become items, and none with a match is left out, though it goes over lines and pages."""
+    from inkveil.functions.patterns import entity_patterns
+    from inkveil.plans import catalog, layers
+
+    rows = [(1, "nothing here\n" * 60), (2, "our Work\n  \nProduct"), (3, "x\n" * 120 + "a.b@example.org"), (4, None), (5, "1.5 is no address"), (6, "no privileges")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = catalog._items(spark, str(tmp_path), entity_patterns(["email", "ip-address", "attorney-client-marker"]))
+    assert {r.doc_id for r in kept.select("doc_id").distinct().collect()} == {2, 3, 5, 6}
+    assert {r.doc_id for r in catalog._items(spark, str(tmp_path), entity_patterns(["name"])).select("doc_id").distinct().collect()} == {1, 2, 3, 5, 6}
+    assert sorted((r.doc_id, r.page, r.type) for r in layers.coded_regions(spark, str(tmp_path)).collect()) == [(2, 1, "attorney-client-marker"), (3, 3, "email")]
